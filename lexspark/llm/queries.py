@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.functions.notation import stripped
 from lexspark.llm.conversations import judge_conversations, rebuild_conversations
+from lexspark.llm.leakage import find_leaks
+from lexspark.llm.packing import pack
 from lexspark.llm.pieces import split_oversized
+from lexspark.llm.reading import fit_reading_model, reading_levels
 from lexspark.sources.tables import table
 
 
@@ -28,7 +32,68 @@ def p4_turns(spark: SparkSession, d: str) -> DataFrame:
     return rebuild_conversations(table(spark, d, "messages"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_turns": p4_turns}
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, one token per UTF-8 byte, in containers of 4,096 tokens."""
+    return pack(table(spark, d, "documents"), "doc_id", F.octet_length("text"), 4096)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_containers(spark, d).where((F.col("pieces") > 1) & (F.col("piece_no") == 1)).select("doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers are."""
+    used = p6_containers(spark, d).groupBy("container_id").agg(F.sum("size").alias("tokens"))
+    return used.agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"),
+        F.round(F.avg("tokens") / 4096, 4).alias("fill"),
+    )
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items whose question or answer they contain, with the length of the passage."""
+    return find_leaks(
+        table(spark, d, "documents"), "doc_id", "text",
+        table(spark, d, "eval_items"), "item_id", ["question_text", "answer_text"],
+    )
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items and how many documents have them."""
+    return p7_leaks(spark, d).groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.max("run_words").alias("longest_run")
+    )
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Level and difficulty of every document of at least 50 words, with source and language."""
+    docs = table(spark, d, "documents")
+    model = fit_reading_model(table(spark, d, "reading_labels"), docs, "doc_id", "text")
+    return reading_levels(docs, "doc_id", "text", model, ("source", "lang"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_levels(spark, d).select("doc_id", "reading_level")
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and mean difficulty per source, language (as written, two letters) and level."""
+    lang = F.substring(F.lower(stripped(F.col("lang"))), 1, 2)
+    return p8_levels(spark, d).groupBy("source", lang.alias("language"), "reading_level").agg(
+        F.count(F.lit(1)).alias("documents"), F.round(F.avg("difficulty"), 3).alias("difficulty")
+    )
+
+
+QUERIES = {
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_turns": p4_turns,
+    "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
+    "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items,
+    "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,
+}
 
 _TRIM = r"regexp_replace({}, '^[\s\x{{00a0}}\x{{feff}}]+|[\s\x{{00a0}}\x{{feff}}]+$', '', 'g')"
 
@@ -49,9 +114,10 @@ g AS (SELECT c FROM w GROUP BY c HAVING count(*) % 2 = 0 AND bool_and((n % 2 = 1
 """
 
 SQL = {
+    "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
     "p3_found": r"""
 SELECT id, CASE WHEN list_max(list_transform(regexp_split_to_array(content, '[\n\r.;:!?]'),
-    x -> len(regexp_extract_all(x, '\S+')))) > 256 THEN 1 ELSE 0 END::BIGINT AS unbroken
+    lambda x: len(regexp_extract_all(x, '\S+')))) > 256 THEN 1 ELSE 0 END::BIGINT AS unbroken
 FROM norms WHERE len(regexp_extract_all(content, '\S+')) > 256""",
     "p4_found": _TALK + "SELECT DISTINCT c AS conversation_id FROM o WHERE c NOT IN (SELECT c FROM g)",
     "p4_turns": _TALK + "SELECT c AS conversation_id, n AS turn_no, role, content, created_at FROM w WHERE c IN (SELECT c FROM g)",
