@@ -11,9 +11,29 @@ from lexspark.llm.leakage import find_leaks
 from lexspark.llm.packing import pack
 from lexspark.llm.pieces import split_oversized
 from lexspark.llm.reading import fit_reading_model, reading_levels
+from lexspark.llm.similar import near_pairs, nearest
 from lexspark.sources.tables import table
 
 
+def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Norms with a cosine of at least 0.9, each among the 10 most similar of the other."""
+    return near_pairs(table(spark, d, "norms"), "id", "embedding", 64, 10, 0.9)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pairs(spark, d).select("id_a", "id_b")
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 most similar of all norms for each norm whose id is divisible by 100, with both norm_ids."""
+    norms = table(spark, d, "norms")
+    found = nearest(norms, "id", "embedding", norms.where(F.col("id") % 100 == 0), 64, 10)
+    name = norms.select("id", stripped(F.col("norm_id")).alias("norm_id"))
+    return found.join(name, "id").join(
+        name.select(F.col("id").alias("neighbour"), F.col("norm_id").alias("neighbour_norm_id")), "neighbour"
+    )
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of at most 256 tokens with 32 of overlap of every larger norm."""
     return split_oversized(table(spark, d, "norms"), "id", "content", 256, 32)
@@ -89,6 +109,7 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_nearest": p2_nearest,
     "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_turns": p4_turns,
     "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items,
