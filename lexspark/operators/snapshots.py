@@ -128,9 +128,8 @@ def snapshot_changes(
 
     def at(bits: str, vec: str, x: Column) -> Column:
         """The entry of the other vector for the same ordinal: its place is the number of set bits below."""
-        below = F.expr("1L")
-        mask = F.call_function("shiftleft", below, x["bit"]) - 1
-        return F.element_at(F.col(vec), F.bit_count(F.col(bits).bitwiseAND(mask)) + 1)
+        below = F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), x["bit"]))
+        return F.element_at(F.col(vec), F.bit_count(F.col(bits).bitwiseAND(below)) + 1)
 
     added = F.transform(
         F.filter("v1", lambda x: has("plus", x)), lambda x: F.struct(x["k"].alias(key), F.lit("added").alias("change_kind"))
