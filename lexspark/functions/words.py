@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +26,9 @@ _FOLDED = {
 _INLINE = r"(?i)</?(?:a|b|code|em|font|i|mark|small|span|strong|sub|sup|u)(?:\s[^<>]*)?/?>"
 _TAG = r"</?[a-zA-Z!][^<>]*>"
 _INVISIBLE = r"[\x{00ad}\x{200b}-\x{200d}\x{2060}\x{feff}]"
-_BROKEN_WORD = r"(\p{L})[-\x{2010}][ \t]*(?:\r\n|\n|\r)\s*(?=\p{Ll})"
+_BROKEN_WORD = r"(?<=\p{L})[-\x{2010}][ \t]*[\r\n]\s*(?=\p{Ll})"
+# What makes each costly replacement worth a look.
+_HIDDEN = ("\u00ad", "\u200b", "\u200c", "\u200d", "\u2060", "\ufeff")
 
 
 def _replaced(c: Column, pairs: dict[str, str]) -> Column:
@@ -33,13 +37,30 @@ def _replaced(c: Column, pairs: dict[str, str]) -> Column:
     return c
 
 
+def _any(c: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [c.contains(p) for p in parts])
+
+
+def _let(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def _where(c: Column, needed, f) -> Column:
+    """f(c) where `needed` holds for c, else c."""
+    return _let(c, lambda s: F.when(needed(s), f(s)).otherwise(s))
+
+
 def plain_text(c: Column) -> Column:
     """Without markup, character references, invisible characters, words broken at line ends and misread bytes."""
-    s = F.when(c.contains("&"), _replaced(c, _REFERENCES)).otherwise(c)
-    s = F.when(s.contains("Ã") | s.contains("Â") | s.contains("â€"), _replaced(s, _MISREAD)).otherwise(s)
-    s = F.when(s.contains("<"), F.regexp_replace(F.regexp_replace(s, _INLINE, ""), _TAG, " ")).otherwise(s)
-    s = F.regexp_replace(s, _INVISIBLE, "")
-    return F.regexp_replace(s, _BROKEN_WORD, "$1")
+    s = _where(c, lambda s: s.contains("&"), lambda s: _replaced(s, _REFERENCES))
+    s = _where(s, lambda s: _any(s, ("Ã", "Â", "â€")), lambda s: _replaced(s, _MISREAD))
+    s = _where(
+        s, lambda s: s.contains("<"), lambda s: F.regexp_replace(F.regexp_replace(s, _INLINE, ""), _TAG, " ")
+    )
+    s = _where(s, lambda s: _any(s, _HIDDEN), lambda s: F.regexp_replace(s, _INVISIBLE, ""))
+    hyphen = lambda s: _any(s, ("-", "\u2010")) & _any(s, ("\n", "\r"))
+    return _where(s, hyphen, lambda s: F.regexp_replace(s, _BROKEN_WORD, ""))
 
 
 def words(c: Column) -> Column:
