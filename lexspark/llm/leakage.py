@@ -151,7 +151,10 @@ def find_leaks(
     sides = items.select(
         F.col(item_id).alias("i"), F.explode(F.array(*[word_hashes(F.col(c)) for c in item_texts])).alias("w")
     ).where(F.size("w") >= seed)
-    texts = corpus.select(F.col(corpus_id).alias("d"), word_hashes(F.col(corpus_text)).alias("w")).where(F.size("w") >= seed)
+    # a filter on the number of words would compute them twice
+    texts = corpus.where(F.col(corpus_text).isNotNull()).select(
+        F.col(corpus_id).alias("d"), word_hashes(F.col(corpus_text)).alias("w")
+    )
     kind, item_kind = corpus.schema[corpus_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     schema = f"`{corpus_id}` {kind}, `{item_id}` {item_kind}, run_words long, stretch_words long"
 

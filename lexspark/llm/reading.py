@@ -134,13 +134,10 @@ def rated_sample(labels: DataFrame, docs: DataFrame, key: str, text: str, levels
         .orderBy(F.xxhash64(key), key)
         .limit(sample)
     )
-    # at most `sample` rows of a key and a number
-    return (
-        docs.select(key, word_hashes(F.col(text)).alias("w"))
-        .join(F.broadcast(agreed), key)
-        .where(F.size("w").between(1, most_words))
-        .select(F.col("y").cast("int").alias("y"), "w", F.col(key).alias("k"))
-    )
+    # at most `sample` rows of a key and a number; words are made of the chosen texts alone, which the join leaves
+    chosen = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(agreed), key)
+    short = F.length(text) <= 20 * most_words
+    return chosen.where(short).select(F.col("y").cast("int").alias("y"), word_hashes(F.col(text)).alias("w"), F.col(key).alias("k"))
 
 
 def fit_reading_model(
@@ -150,7 +147,8 @@ def fit_reading_model(
     """Fitted on at most `sample` rated documents of at most `most_words` words each; these bound the driver's memory and
     the model's size, nothing else. None without any rated document."""
     rows = rated_sample(labels, docs, key, text, levels, sample, most_words).collect()
-    rows = list({r["k"]: r for r in sorted(rows, key=lambda r: r["k"])}.values())
+    rows = [r for r in rows if 0 < len(r["w"]) <= most_words]
+    rows = list({r["k"]: r for r in sorted(rows, key=lambda r: (r["k"], r["w"]))}.values())
     if not rows:
         return None
     words = [np.array(r["w"], "i8").view("u8") for r in rows]
