@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("upkeep",)
+MODULES = ("upkeep", "search", "wording", "state", "quality", "streams")
 
 
 def _merged(what: str) -> dict:
@@ -26,4 +26,4 @@ def sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return queries()["p1_counts"](spark, folder)
+    return queries()["hybrid_search"](spark, folder)
