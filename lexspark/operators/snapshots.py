@@ -75,9 +75,22 @@ def snapshot_changes(
     seq are ignored. Null values never differ. The first delivery has no changes; an empty input has none either.
     Other columns are ignored, whatever their names.
     """
-    rows = latest_rows(deliveries.select(seq, key, *values, order), seq, key, values, order)
+    # names of our own, so that columns of any name can be compared
+    names = [f"v{i}" for i in range(len(values))]
+    mine = deliveries.select(
+        F.col(seq).alias("q"), F.col(key).alias("k"), F.col(order).alias("o"), *[F.col(v).alias(n) for v, n in zip(values, names, strict=True)]
+    )
+    if registry is not None:
+        registry = registry.withColumnRenamed(key, "k")
+    changes = _changes(mine, names, registry, buckets)
+    return changes.select(F.col("q").alias(seq), F.col("k").alias(key), "change_kind")
+
+
+def _changes(deliveries: DataFrame, values: list[str], registry: DataFrame | None, buckets: int) -> DataFrame:
+    seq, key = "q", "k"
+    rows = latest_rows(deliveries, seq, key, values, "o")
     # one row per key: its states in all deliveries, at most as many as there are deliveries
-    states = rows.groupBy(key).agg(F.collect_list(F.struct(F.col(seq).alias("q"), F.col("vals"))).alias("_states"))
+    states = rows.groupBy(key).agg(F.collect_list(F.struct("q", "vals")).alias("_states"))
     placed = assign_ordinals(states, key, registry, buckets)
     word = F.shiftright("ordinal", 6)
     bit = F.col("ordinal").bitwiseAND(F.lit(63)).cast("int")
@@ -88,7 +101,7 @@ def snapshot_changes(
         .agg(
             F.expr("bit_or(shiftleft(1L, bit))").alias("bits"),
             # the aligned vector: sorted by bit, one entry per set bit
-            F.sort_array(F.collect_list(F.struct("bit", F.col(key).alias("k"), "vals"))).alias("vec"),
+            F.sort_array(F.collect_list(F.struct("bit", "k", "vals"))).alias("vec"),
         )
     )
     # the deliveries that exist: one array, as long as their number, which every task sees as a literal
@@ -132,14 +145,14 @@ def snapshot_changes(
         return F.element_at(F.col(vec), F.bit_count(F.col(bits).bitwiseAND(below)) + 1)
 
     added = F.transform(
-        F.filter("v1", lambda x: has("plus", x)), lambda x: F.struct(x["k"].alias(key), F.lit("added").alias("change_kind"))
+        F.filter("v1", lambda x: has("plus", x)), lambda x: F.struct(x["k"].alias("k"), F.lit("added").alias("change_kind"))
     )
     removed = F.transform(
         F.filter("v0", lambda x: has("minus", x)),
-        lambda x: F.struct(x["k"].alias(key), F.lit("removed").alias("change_kind")),
+        lambda x: F.struct(x["k"].alias("k"), F.lit("removed").alias("change_kind")),
     )
     changed = F.transform(
         F.filter("v1", lambda x: F.when(has("both", x), _differs(x["vals"], at("b0", "v0", x)["vals"], values)).otherwise(False)),
-        lambda x: F.struct(x["k"].alias(key), F.lit("changed").alias("change_kind")),
+        lambda x: F.struct(x["k"].alias("k"), F.lit("changed").alias("change_kind")),
     )
     return sides.select(seq, F.inline(F.concat(added, removed, changed)))
