@@ -34,7 +34,7 @@ def clean_messages(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
 
     Rows without conversation are dropped. Of rows with one id the first ingested counts, of equals the smallest.
     Rows with a null or blank id count once per conversation, role, content and time. System rows and rows with null or blank content are SKIP;
-    a null, blank or unknown role is FOREIGN even when its content is blank.
+    a null, blank or unknown role is FOREIGN even when its content is blank. A null time stands before all others.
     """
     role = F.lower(stripped(F.col("role")))
     blank = stripped(F.col("content")).isNull()

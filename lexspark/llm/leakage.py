@@ -138,7 +138,7 @@ def find_leaks(
     seed: int = 5,
     block_words: int = 2_000_000,
 ) -> DataFrame:
-    """(corpus_id, item_id, run_words, stretch_words): documents with a passage of a text of an item, each pair once.
+    """(corpus_id, item_id, run_words, stretch_words), the second as `item_...` where both ids have one name: documents with a passage of a text of an item, each pair once.
 
     run_words is the longest run of unaltered words, stretch_words the longest stretch with few alterations (0: none of
     `stretch` words). The evaluation texts are what every task searches for; they are held in memory in blocks of at
@@ -155,8 +155,9 @@ def find_leaks(
     texts = corpus.where(F.col(corpus_text).isNotNull()).select(
         F.col(corpus_id).alias("d"), word_hashes(F.col(corpus_text)).alias("w")
     )
+    pair = (corpus_id, item_id if item_id != corpus_id else f"item_{item_id}")
     kind, item_kind = corpus.schema[corpus_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"`{corpus_id}` {kind}, `{item_id}` {item_kind}, run_words long, stretch_words long"
+    schema = f"`{pair[0]}` {kind}, `{pair[1]}` {item_kind}, run_words long, stretch_words long"
 
     def passed(block: list) -> DataFrame:
         names = [x["i"] for x in block]
@@ -176,7 +177,7 @@ def find_leaks(
                         pa.array(longest, pa.int64()),
                         pa.array(best, pa.int64()),
                     ],
-                    names=[corpus_id, item_id, "run_words", "stretch_words"],
+                    names=[*pair, "run_words", "stretch_words"],
                 )
 
         return texts.mapInArrow(work, schema)
@@ -189,6 +190,6 @@ def find_leaks(
         size += len(x["w"])
     last = passed(block)
     found = last if found is None else found.unionByName(last)
-    return found.groupBy(corpus_id, item_id).agg(
+    return found.groupBy(*pair).agg(
         F.max("run_words").alias("run_words"), F.max("stretch_words").alias("stretch_words")
     )
