@@ -35,7 +35,7 @@ def cache_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def debounce(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each burst of a user, with a gap of 6 hours."""
-    return debounced(table(spark, d, "events"), "user_id", "ts", "6 hours")
+    return debounced(table(spark, d, "events"), "user_id", "ts", 6 * HOUR)
 
 
 QUERIES = {"rate_windows": rate_windows, "rate_anchor": rate_anchor, "cache_hits": cache_hits, "debounce": debounce}

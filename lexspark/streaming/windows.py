@@ -107,8 +107,10 @@ def anchored_stream(events: DataFrame, client: str, at: str, width_micros: int,
     )
 
 
-def debounced(events: DataFrame, client: str, at: str, gap: str) -> DataFrame:
-    """(client, at, events): the last event of each burst, bursts being parted by at least `gap`."""
+def debounced(events: DataFrame, client: str, at: str, gap_micros: int) -> DataFrame:
+    """(client, at, events): the last event of each burst, bursts being parted by `gap_micros` or more."""
+    # sessions also merge where one begins exactly at the end of another
+    gap = f"{gap_micros - 1} microseconds"
     return events.groupBy(client, F.session_window(at, gap).alias("w")).agg(
         F.max(at).alias("at"), F.count(F.lit(1)).alias("events")
     ).select(client, "at", "events")
