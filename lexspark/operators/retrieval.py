@@ -7,6 +7,7 @@ query's pool are small; the corpus itself is only scanned.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from math import ceil
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.text import tokens
+from lexspark.operators.topn import TopN
 
 K1, B, USUAL_LENGTH = 1.2, 0.75, 600.0
 ALPHA = 0.85
@@ -25,6 +27,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _rows(qid: np.ndarray, best: TopN, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(qid[best.row], pa.int64()), pa.array(best.id, pa.int64()), pa.array(best.score, pa.float64())], names=["query_id", "id", name]
+    )
+
+
 def dense_topn(queries: DataFrame, rows: DataFrame, n: int, dim: int = 64, query_block: int = 4096) -> DataFrame:
     """(query_id, id, dense, place): the n rows with the greatest cosine, rounded to 6 digits; of equals the lower id.
 
@@ -41,21 +49,14 @@ def dense_topn(queries: DataFrame, rows: DataFrame, n: int, dim: int = 64, query
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, qx = shared.value
-            best_c, best_i = np.full((len(qid), 0), -9.0), np.zeros((len(qid), 0), "i8")
+            best = TopN(len(qid), n)
             for b in batches:
                 if not b.num_rows or not len(qid):
                     continue
                 x, ids = _matrix(b.column("vec"), dim), b.column("id").to_numpy()
                 for s in range(0, len(x), 2048):
-                    c = np.round(qx @ x[s : s + 2048].T, 6)
-                    c = np.concatenate([best_c, c], axis=1)
-                    i = np.concatenate([best_i, np.broadcast_to(ids[s : s + 2048], (len(qid), len(ids[s : s + 2048])))], axis=1)
-                    o = np.lexsort((i, -c), axis=1)[:, :n]
-                    best_c, best_i = np.take_along_axis(c, o, 1), np.take_along_axis(i, o, 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(qid, best_c.shape[1])), pa.array(best_i.ravel()), pa.array(best_c.ravel())],
-                names=["query_id", "id", "dense"],
-            )
+                    best.add(np.round(qx @ x[s : s + 2048].T, 6), ids[s : s + 2048])
+            yield _rows(qid, best, "dense")
 
         one = rows.select("id", "vec").mapInArrow(work, "query_id long, id long, dense double")
         found = one if found is None else found.unionByName(one)
@@ -96,28 +97,77 @@ def bm25_pool(pool: DataFrame, text: str, terms: str) -> DataFrame:
     return pool.join(scored, ["query_id", "id"], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 6))
 
 
-def bm25_topn(docs: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """(query_id, id, bm25, place) over the whole corpus. docs: id, text; queries: query_id, terms.
+def bm25_topn(docs: DataFrame, queries: DataFrame, n: int, query_block: int = 1024) -> DataFrame:
+    """(query_id, id, bm25, place) over the whole corpus, rounded to 6 digits. docs: id, text; queries: query_id, terms.
 
-    The terms of the queries are all that is looked for: they are joined to the words of each text, and the words that
-    no query has never leave the scan. The join is a broadcast if the terms are few and a shuffle otherwise. Scores of
-    a document are summed where its words are, and only the best n per query and task are shuffled.
+    Two passes over the corpus: how many texts have each term of the queries, and the scores. Queries go to the tasks in
+    blocks of a fixed size; words are hashed in the JVM, and a task adds up the weights of its texts for all queries of
+    a block at once. Only n rows per query and task are shuffled. Texts without a term of a query have no score for it.
     """
-    wanted = queries.select("query_id", F.explode("terms").alias("term"))
-    words = docs.select("id", tokens(F.col("text")).alias("w")).withColumn("len", F.size("w"))
-    distinct = wanted.select("term").distinct()
-    per_doc = words.select("id", "len", F.explode("w").alias("term")).join(distinct, "term", "left_semi")
-    tf = per_doc.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = docs.agg(F.count(F.lit(1))).scalar()
-    weighted = wanted.join(df, "term").select("query_id", "term", rarity(total, F.col("df")).alias("idf"))
-    scores = (
-        tf.join(weighted, "term")
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum(F.col("idf") * term_weight(F.col("tf"), F.col("len"))), 6).alias("bm25"))
-    )
+    spark = docs.sparkSession
+    hashed = docs.select("id", F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
+    total = docs.count()
+    parts = max(1, ceil(queries.count() / query_block))
+    found = None
+    for part in range(parts):
+        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        wanted = mine.select("query_id", F.explode("terms").alias("t")).select("query_id", F.xxhash64("t").alias("h"))
+        pairs = wanted.distinct().toArrow()
+        qid, qrow = np.unique(pairs["query_id"].to_numpy(), return_inverse=True)
+        terms, tcol = np.unique(pairs["h"].to_numpy(), return_inverse=True)
+        asked = np.zeros((len(terms), len(qid)))
+        asked[tcol, qrow] = 1
+        shared = spark.sparkContext.broadcast((qid, terms, asked))
+        counted = hashed.mapInArrow(partial(_frequencies, shared=shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        df = np.zeros(len(terms))
+        for r in counted.collect():  # as many rows as the block has terms
+            df[r["term"]] = r["n"]
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+        ready = spark.sparkContext.broadcast((qid, terms, asked * idf[:, None]))
+        one = hashed.mapInArrow(partial(_scores, shared=ready, n=n), "query_id long, id long, bm25 double")
+        found = one if found is None else found.unionByName(one)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "id"))
-    return scores.withColumn("place", place).where(F.col("place") <= n)
+    return found.withColumn("place", place).where(F.col("place") <= n)
+
+
+def _known(b: pa.RecordBatch, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, frequency) of the terms that occur, and the length of each text."""
+    w = b.column("w")
+    ends = w.offsets.to_numpy().astype("i8")
+    size = np.diff(ends)
+    flat = w.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+    k = np.minimum(np.searchsorted(terms, flat), len(terms) - 1)
+    row = np.repeat(np.arange(b.num_rows), size)
+    hit = terms[k] == flat
+    cell, tf = np.unique(row[hit] * len(terms) + k[hit], return_counts=True)
+    return cell // len(terms), cell % len(terms), tf, size
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    _, terms, _ = shared.value
+    n = np.zeros(len(terms), "i8")
+    for b in batches:
+        if len(terms) and b.num_rows:
+            n += np.bincount(_known(b, terms)[1], minlength=len(terms))
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some])], names=["term", "n"])
+
+
+def _scores(batches: Iterator[pa.RecordBatch], shared, n: int) -> Iterator[pa.RecordBatch]:
+    qid, terms, idf = shared.value
+    best = TopN(len(qid), n)
+    for b in batches:
+        if not len(terms) or not b.num_rows:
+            continue
+        row, term, tf, size = _known(b, terms)
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / USUAL_LENGTH))
+        ids = b.column("id").to_numpy()
+        for s in range(0, b.num_rows, 512):
+            part = slice(*np.searchsorted(row, (s, s + 512)))
+            dense = np.zeros((min(512, b.num_rows - s), len(terms)))
+            dense[row[part] - s, term[part]] = weight[part]
+            best.add(np.round((dense @ idf).T, 6), ids[s : s + 512], least=0.0)
+    yield _rows(qid, best, "bm25")
 
 
 def fuse(pool: DataFrame, alpha: float = ALPHA) -> DataFrame:
