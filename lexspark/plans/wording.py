@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.functions.dialog import chat_markup
+from lexspark.functions.lookup import matches_search, translated_terms
 from lexspark.functions.notation import stripped
 from lexspark.functions.vectors import hash_slot
 from lexspark.operators.classify import category_words, classify_records, detect_category, review_queue
 from lexspark.operators.corpus import sections, stitch_paragraphs
-from lexspark.plans.common import CORPUS, LAWS, corpus, current_laws, trim
+from lexspark.plans.common import CORPUS, LAWS, corpus, current_laws, newest, trim
 from lexspark.sources.tables import table
 
 GERMAN = ("der", "die", "das", "und", "ist", "nicht", "sie", "den", "von", "mit", "dem", "für", "ein", "eine", "wenn", "oder", "auf", "zu", "im", "des")
@@ -110,7 +112,40 @@ def review_least_certain(spark: SparkSession, d: str) -> DataFrame:
     return review_queue(_classified(spark, d))
 
 
+#: Terms of the questions with their German forms.
+TERMS = (("housing", "wohnung"), ("assessment", "bescheid"), ("insurance", "versicherung"), ("pension", "rente"), ("pension concession", "rentenerlaubnis"),
+         ("broadcasting", "rundfunk"), ("registration", "eintragung"), ("railway", "eisenbahn"), ("harbour", "hafen"), ("education", "schule"))
+SEARCHES = ("Verordnung -Prüfung", '"Gesetz zur Regelung" Netz', "Archivordnung or Förderanspruch", "-Gesetz", "")
+
+
+def term_translate(spark: SparkSession, d: str) -> DataFrame:
+    """German forms of the terms of each question."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in TERMS])
+    return table(spark, d, "eval_items").select("item_id", translated_terms(F.col("question_text"), pairs).alias("german"))
+
+
+def law_search(spark: SparkSession, d: str) -> DataFrame:
+    """Laws that meet each of some searches with phrases, exclusions and choices."""
+    asked = F.explode(F.array(*[F.lit(s) for s in SEARCHES])).alias("search")
+    laws = current_laws(spark, d).select("law_id", F.concat_ws(" ", "law_key", "law_title", "alt_title").alias("t"), asked)
+    return laws.where(matches_search(F.col("t"), F.col("search"))).select("search", "law_id")
+
+
+def event_props(spark: SparkSession, d: str) -> DataFrame:
+    """Events and the sum of their property `k`, by type; unreadable properties count as none."""
+    k = F.from_json("props", "k long")["k"]
+    return table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.coalesce(F.sum(k), F.lit(0)).alias("k"))
+
+
+def chat_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Every message once as ChatML, by length and digest."""
+    m = newest(table(spark, d, "messages"), ["id"], "ingested_at")
+    turn = chat_markup(F.coalesce(F.lower(stripped(F.col("role"))), F.lit("user")), F.col("content"))
+    return m.select("id", F.length(turn).cast("long").alias("chars"), T.client_hash(turn).alias("digest"))
+
+
 QUERIES = {
+    "term_translate": term_translate, "law_search": law_search, "event_props": event_props, "chat_turns": chat_turns,
     "passages": passages, "norm_numbers": norm_numbers, "law_names": law_names, "language_share": language_share,
     "secret_flags": secret_flags, "filled_templates": filled_templates, "sparse_hash": sparse_hash,
     "numbered_paragraphs": numbered_paragraphs, "html_sections": html_sections, "detect_categories": detect_categories,
@@ -139,7 +174,20 @@ f AS (SELECT r.id, r.title, CASE WHEN k.s >= 2 AND k.s - k.s2 >= 1 THEN k.catego
       round(CASE WHEN k.s IS NULL THEN 0 WHEN k.s >= 2 AND k.s - k.s2 >= 1 THEN least(0.98, 0.55 + k.s / 12.0::DOUBLE + (k.s - k.s2) / 10.0::DOUBLE)
         ELSE least(0.49, greatest(0.1, k.s / 10.0::DOUBLE)) END::DOUBLE, 6) AS confidence FROM r LEFT JOIN k ON k.id = r.id AND k.n = 1)"""
 
+_TURN = f"'<|im_start|>' || coalesce(lower({trim('role')}), 'user') || chr(10) || coalesce(content, '') || '<|im_end|>' || chr(10)"
+# greedy by (place, length): a recursive walk over the found terms
+_TRANSLATE = f"""WITH RECURSIVE d(a, b) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in TERMS)}),
+f AS (SELECT item_id, instr(lower(question_text), a) AS at, length(a) AS n, b, row_number() OVER (PARTITION BY item_id ORDER BY instr(lower(question_text), a), length(a) DESC, b) AS r
+      FROM eval_items, d WHERE contains(lower(question_text), a)),
+w AS (SELECT item_id, 0::BIGINT AS r, 0::BIGINT AS e, []::VARCHAR[] AS o FROM eval_items UNION ALL
+      SELECT w.item_id, f.r, CASE WHEN f.at > w.e THEN f.at + f.n - 1 ELSE w.e END, CASE WHEN f.at > w.e AND NOT list_contains(w.o, f.b) THEN list_append(w.o, f.b) ELSE w.o END
+      FROM w JOIN f ON f.item_id = w.item_id AND f.r = w.r + 1)
+SELECT item_id, array_to_string(arg_max(o, r), ' ') AS german FROM w GROUP BY 1"""
+
 SQL = {
+    "term_translate": _TRANSLATE,
+    "event_props": "SELECT event_type, count(*) AS events, coalesce(sum(try_cast(props::JSON->>'k' AS BIGINT)), 0)::BIGINT AS k FROM events GROUP BY 1",
+    "chat_turns": f"SELECT id, length(t) AS chars, substring(sha256(t), 1, 16) AS digest FROM (SELECT id, {_TURN} AS t FROM messages QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) = 1)",
     "passages": f"""WITH {CORPUS}, p AS (SELECT id, {_PASSAGE} AS p, {_SHA} AS h FROM c)
 SELECT id, substring(h, 1, 8) || '-' || substring(h, 9, 4) || '-5' || substring(h, 14, 3) || '-' ||
   substring('89ab', (('0x' || substring(h, 17, 1))::INT % 4) + 1, 1) || substring(h, 18, 3) || '-' || substring(h, 21, 12) AS point_id,
