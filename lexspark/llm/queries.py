@@ -134,7 +134,17 @@ g AS (SELECT c FROM w GROUP BY c HAVING count(*) % 2 = 0 AND bool_and((n % 2 = 1
       EXCEPT SELECT c FROM o WHERE coalesce(role, '') NOT IN ('user', 'assistant', 'system'))
 """
 
+# all pairs, at the size of the comparison; the index is compared with brute force at larger ones
+_PAIRS = """
+WITH u AS (SELECT id, embedding::DOUBLE[] AS v FROM norms WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+c AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id < b.id),
+n AS (SELECT x, y FROM (SELECT x, y, c FROM c WHERE c >= 0.9 UNION ALL SELECT y, x, c FROM c WHERE c >= 0.9)
+  QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 10)
+SELECT a.x AS id_a, a.y AS id_b FROM n a JOIN n b ON a.x = b.y AND a.y = b.x WHERE a.x < a.y"""
+
 SQL = {
+    "p2_found": _PAIRS,
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
     "p3_found": r"""
 SELECT id, CASE WHEN list_max(list_transform(regexp_split_to_array(content, '[\n\r.;:!?]'),
