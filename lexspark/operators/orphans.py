@@ -43,7 +43,7 @@ def merge_parents(index: DataFrame, events: DataFrame) -> DataFrame:
 def advance(
     index: DataFrame, state: DataFrame, references: DataFrame, events: DataFrame, salts: int = 16
 ) -> tuple[DataFrame, DataFrame]:
-    """The next (parent index, reference state).
+    """The next (parent index, reference state); write both between batches (a table, or session.durable).
 
     references: src_table, src_id, ref_field, target, key, ref_at (microseconds or null). Those with a null key are no
     references. Rows that are delivered again (same table, id, field and key) count once, the earliest `ref_at` holds.

@@ -80,8 +80,9 @@ def anchored_windows(events: DataFrame, client: str, at: Column, id_: str, width
     )
 
 
-def anchored_stream(events: DataFrame, client: str, at: str, width_micros: int, most: int) -> DataFrame:
-    """(client, at, allowed) for a stream: windows as in `anchored_windows`, kept per client and forgotten when they end."""
+def anchored_stream(events: DataFrame, client: str, at: str, width_micros: int, most: int, late: str = "10 minutes") -> DataFrame:
+    """(client, at, allowed) for a stream: windows as in `anchored_windows`, kept per client and forgotten when the
+    watermark, which is `late` behind the newest event, has passed their end. Events behind it are left out."""
     kind = events.schema[client].dataType.simpleString()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -97,13 +98,14 @@ def anchored_stream(events: DataFrame, client: str, at: str, width_micros: int,
             open_at = int(o)
             allowed[i] = n <= most
         state.update((last, n))
-        state.setTimeoutDuration(max(1000, 2 * width_micros // 1000))
+        state.setTimeoutTimestamp(max((last + width_micros) // 1000, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"client": key[0], "at": times, "allowed": allowed})
 
     return (
-        events.select(F.col(client).alias("client"), F.unix_micros(F.col(at)).alias("at"))
+        events.withWatermark(at, late)
+        .select(F.col(client).alias("client"), F.unix_micros(F.col(at)).alias("at"), F.col(at).alias("event_time"))
         .groupBy("client")
-        .applyInPandasWithState(step, f"client {kind}, at long, allowed boolean", "open long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        .applyInPandasWithState(step, f"client {kind}, at long, allowed boolean", "open long, n long", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 

@@ -5,7 +5,7 @@ from lexspark.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    spark = local_session("4", 4, "4g")
+    spark = local_session("8", 3, "4g")
     yield spark
 
 
