@@ -9,6 +9,10 @@ Spearman's footrule with missing pivots at the end, for which
 so that ranking by footrule distance is ranking by the sum, which is gathered over the inverted files alone. Vectors
 that are near by footrule are reranked by their cosines.
 
+Where pivots crowd, that is, many of them are similar to one another, the nearest pivots of a vector all come from its own
+cluster, and permutations of neighbours hardly overlap. Such clusters have heads; vectors near a head are compared by
+cosine with all that can be similar to them, and do not stand in inverted files.
+
 `near_pairs` finds all pairs above a cosine together with the mutual k nearest; `nearest` finds the k nearest of given
 query rows. Cosines are exact in both results; only which pairs are looked at depends on the index.
 """
@@ -30,6 +34,8 @@ LENGTH = 12  # pivots in a permutation
 POSTED = 6  # inverted files that a vector stands in
 BLOCK = 2048  # most vectors of an inverted file that one task compares with one another or with as many others
 MOST_PIVOTS = 16384
+CROWD = 0.8  # cosine to its head from which a vector belongs to a crowd
+CROWD_BLOCK = 8192  # rows of a crowd that one task compares with as many others
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -68,6 +74,21 @@ def choose_pivots(rows: DataFrame, id_: str, vector: str, dim: int, total: int,
     return x[first[:wanted]]
 
 
+def crowd_heads(pivots: np.ndarray, length: int = LENGTH, near: float = CROWD) -> np.ndarray:
+    """Unit vectors in the middle of crowds: places where a pivot has `length` other pivots with a cosine >= `near`."""
+    around = [np.flatnonzero(pivots @ p >= near) for p in pivots]
+    size = np.array([len(a) for a in around])
+    free = size > length
+    heads = np.zeros((0, pivots.shape[1]), "f4")
+    for i in np.argsort(-size, kind="stable"):
+        if free[i]:
+            head = _unit(pivots[around[i]].astype("f8").mean(axis=0, keepdims=True)).astype("f4")
+            heads = np.concatenate([heads, head])
+            free &= pivots @ head[0] < near
+            free[i] = False
+    return heads
+
+
 def _permutations(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """Numbers of the nearest pivots of each row, nearest first; of equals the lower number."""
     length = min(length, len(pivots))
@@ -92,23 +113,113 @@ def _rows(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _represent(rows: DataFrame, id_: str, vector: str, dim: int, pivots: np.ndarray, length: int) -> DataFrame:
-    """(id, h1, h2, perm, q): hashes of the vector as it is, its permutation, and its components in 8 bits."""
-    shared = rows.sparkSession.sparkContext.broadcast(pivots)
+def _represent(
+    rows: DataFrame, id_: str, vector: str, dim: int, pivots: np.ndarray, length: int, heads: np.ndarray, least: float
+) -> DataFrame:
+    """(id, h1, h2, perm, q, home, crowds, x): hashes of the vector as it is, its permutation, its components in 8 bits.
+
+    home: the nearest head if it is near enough; crowds: heads whose members can have a cosine >= `least` with the vector
+    (angles add up at most); x: the unit vector of those that have any.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((pivots, heads))
+    wide = np.cos(min(np.pi, np.arccos(CROWD) + np.arccos(min(1.0, max(-1.0, least))))) - 1e-4
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, heads = shared.value
         for b in batches:
             x = _matrix(b.column("v"), dim)
             q = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype("i1")
+            if len(heads) and len(x):
+                c = x @ heads.T
+                home = np.where(c.max(axis=1) >= CROWD, c.argmax(axis=1), -1)
+                crowds = [np.flatnonzero(r >= wide) for r in c]
+            else:
+                home, crowds = np.full(len(x), -1), [()] * len(x)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("h1"), b.column("h2"), _fixed(_permutations(x, shared.value, length)), _fixed(q)],
-                names=["id", "h1", "h2", "perm", "q"],
-            )
+                [
+                    b.column("id"), b.column("h1"), b.column("h2"), _fixed(_permutations(x, pivots, length)), _fixed(q),
+                    pa.array(home, pa.int32()), pa.array(crowds, pa.list_(pa.int32())),
+                    pa.array([r.tobytes() if len(k) else None for r, k in zip(x, crowds)], pa.binary()),
+                ],
+                names=["id", "h1", "h2", "perm", "q", "home", "crowds", "x"],
+            )
 
     hashed = rows.select(
         F.col(id_).alias("id"), F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit(7), vector).alias("h2"), F.col(vector).alias("v")
     )
-    return hashed.mapInArrow(work, "id long, h1 long, h2 long, perm binary, q binary")
+    return hashed.mapInArrow(work, "id long, h1 long, h2 long, perm binary, q binary, home int, crowds array<int>, x binary")
+
+
+def _nearest_of(s: np.ndarray, cols: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) of the `keep` greatest cosines of each row that are >= `least`, to 6 digits; of equals the lower id.
+
+    `cols`: the ids of the columns, ascending.
+    """
+    n, m = s.shape
+    width = max(1, min(64, m // (8 * keep)))
+    parts = m // width
+    bound = np.full(n, least, "f4")
+    if parts > keep:
+        # the keep-th of the greatest of each stretch of columns is not above the keep-th of the row
+        top = s[:, : parts * width].reshape(n, parts, width).max(axis=2)
+        bound = np.maximum(bound, np.partition(top, parts - keep, axis=1)[:, parts - keep] - 2e-6)
+    row, col = np.divmod(np.flatnonzero(s >= bound[:, None]), m)
+    c = np.round(s[row, col].astype("f8"), 6)
+    order = np.lexsort((col, -c, row))
+    row, col, c = row[order], col[order], c[order]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < keep
+    return row[first], cols[col[first]], c[first]
+
+
+def _crowd_pairs(index: DataFrame, k: int, least: float, block: int) -> DataFrame:
+    """(a, b), a < b: what the members of crowds are similar to: the `k` nearest of each member among all vectors, and of each
+    other vector among all members.
+
+    All cosines are computed, in pairs of blocks that are a task each, which keeps `k` of each row. The work is the square
+    of the size of a crowd; nothing is left out. A few more than `k` go on, so that rounding cannot decide.
+    """
+    keep = k + 2
+    member = F.col("crowd") == F.col("home")
+    each = index.where(F.size("crowds") > 0).select("id", "x", "home", F.explode("crowds").alias("crowd")).withColumn("member", member)
+    # as many rows as there are crowds
+    sizes = each.groupBy("crowd").agg(
+        F.ceil(F.count_if("member") / block).cast("int").alias("inner"), F.ceil(F.count_if(~F.col("member")) / block).cast("int").alias("outer")
+    )
+    # blocks of members come first, the others meet only these
+    placed = each.join(F.broadcast(sizes.where("inner > 0")), "crowd").withColumn(
+        "own", F.when(F.col("member"), F.pmod(F.xxhash64("id"), "inner")).otherwise(F.col("inner") + F.pmod(F.xxhash64("id"), "outer")).cast("int")
+    )
+    others = F.sequence(F.lit(0), F.when(F.col("member"), F.col("inner") + F.col("outer")).otherwise(F.col("inner")) - 1)
+    met = placed.select(
+        "id", "x", "home", "crowd", "own",
+        F.explode(F.transform(others, lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))).alias("part"),
+    ).select("id", "x", "home", "crowd", "own", "part.i", "part.j")
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        ids, home, own = t["id"].to_numpy(), t["home"].to_numpy(), t["own"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, home, own = ids[order], home[order], own[order]
+        x = _rows(t["x"].combine_chunks(), "f4")[order]
+        crowd, i, j = (v.as_py() for v in key)
+        found = []
+        for here, there in {(i, j), (j, i)}:
+            # a member of another crowd has its neighbours from there
+            rows = np.flatnonzero((own == here) & ((home == crowd) | (home == -1)))
+            cols = np.flatnonzero(own == there)
+            for s in range(0, len(rows) if len(cols) else 0, 512):
+                r = rows[s : s + 512]
+                c = x[r] @ x[cols].T
+                c[ids[r][:, None] == ids[cols][None, :]] = -2
+                row, other, cosine = _nearest_of(c, ids[cols], keep, least - 1e-5)
+                found.append((ids[r][row], other, cosine))
+        u, v, c = (np.concatenate(p) for p in zip(*found)) if found else (np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0))
+        return pa.table({"u": u, "v": v, "c": c})
+
+    near = met.groupBy("crowd", "i", "j").applyInArrow(compare, "u long, v long, c double")
+    place = F.row_number().over(Window.partitionBy("u").orderBy(F.col("c").desc(), "v"))
+    first = near.withColumn("place", place).where(F.col("place") <= keep)
+    return first.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
 def _inside(i: int, j: int, block: np.ndarray, perm: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
@@ -152,6 +263,7 @@ def _inside(i: int, j: int, block: np.ndarray, perm: np.ndarray, reach: float) -
 def near_pairs(
     df: DataFrame, id_: str, vector: str, dim: int = 64, k: int = 10, least: float = 0.9, reach: float = 0.2,
     length: int = LENGTH, posted: int = POSTED, block: int = BLOCK, most_pivots: int = MOST_PIVOTS,
+    crowd_block: int = CROWD_BLOCK,
 ) -> DataFrame:
     """(id_a, id_b, cosine), id_a < id_b: rows each among the `k` most similar of the other, with a cosine >= `least`.
 
@@ -160,7 +272,8 @@ def near_pairs(
     the first k can be neighbours of other vectors. Copies are folded into one before they are posted, so that a vector
     that a third of all rows share costs as much as one row. Ids are distinct non-null integers; repeated rows with one
     id and vector count once. Inverted files of more than `block` vectors are cut into blocks that meet in pairs, in
-    tasks of their own: no pair is lost. At most `most_pivots` * `dim` floats are sent to the tasks.
+    tasks of their own: no pair is lost. Members of crowds (`crowd_heads`) are compared with all vectors that can be similar to
+    them, at the cost of the square of the size of a crowd. At most `most_pivots` * `dim` floats are sent to the tasks.
     """
     good = df.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull())
     good = good.where(usable(F.col("v"), dim))
@@ -169,14 +282,15 @@ def near_pairs(
     if not len(pivots):
         return spark.createDataFrame([], "id_a long, id_b long, cosine double")
     posted = min(posted, length, len(pivots))
+    heads = crowd_heads(pivots)
     copies = (
-        _represent(good, "id", "v", dim, pivots, length)
+        _represent(good, "id", "v", dim, pivots, length, heads, least)
         .groupBy("h1", "h2")
         .agg(
             F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("rows"),
-            F.min(F.struct("id", "perm", "q")).alias("one"),
+            F.min(F.struct("id", "perm", "q", "home", "crowds", "x")).alias("one"),
         )
-        .select("h1", "h2", "id", "last", "rows", F.col("one.perm").alias("perm"), F.col("one.q").alias("q"))
+        .select("h1", "h2", "id", "last", "rows", *[F.col(f"one.{c}").alias(c) for c in ("perm", "q", "home", "crowds", "x")])
     )
     index = durable(copies)
 
@@ -185,7 +299,7 @@ def near_pairs(
         low, high = (F.substring(F.hex("perm"), i * 4 + n, F.lit(2)) for n in (1, 3))
         return F.conv(F.concat(high, low), 16, 10).cast("int")
 
-    postings = index.select(
+    postings = index.where(F.col("home") == -1).select(
         "id", "perm", "q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(posted - 1)), number)).alias("pivot")
     )
     # at most `most_pivots` rows, and only those of long files are kept
@@ -225,7 +339,10 @@ def near_pairs(
         mine = np.where(both, a, 65535).min(axis=1) == key[0].as_py()
         return pa.table({"a": ids[x[mine]], "b": ids[y[mine]]})
 
-    candidates = durable(met.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long"))
+    pairs = met.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long")
+    if len(heads):
+        pairs = pairs.unionByName(_crowd_pairs(index, k, least, crowd_block))
+    candidates = durable(pairs)
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     exact = good.join(ends, "id", "left_semi").groupBy("id").agg(F.first("v").alias("v"))
     unit = exact.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))

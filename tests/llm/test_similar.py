@@ -40,6 +40,29 @@ def test_blocks_of_long_files_lose_nothing(spark):
     assert a == b and a
 
 
+def crowd(n, cosine, others, seed=7, dim=64):
+    """n vectors around one centre with a mean pair cosine of `cosine`, and others in small clusters, mixed."""
+    r = np.random.default_rng(seed)
+    centre = r.normal(size=dim) / dim**0.5
+    x = centre / np.linalg.norm(centre) + (1 / cosine - 1) ** 0.5 * r.normal(size=(n, dim)) / dim**0.5
+    return r.permutation(np.concatenate([x * r.uniform(0.3, 3, (n, 1)), clusters(others, dim, seed + 1)])).astype("f4")
+
+
+@pytest.mark.parametrize("cosine", [0.95, 0.85])
+def test_recall_in_a_crowd(spark, cosine):
+    x = crowd(1500, cosine, 3000)
+    want, _ = brute(x)
+    got = [tuple(r) for r in near_pairs(frame(spark, x), "id", "v").select("id_a", "id_b").collect()]
+    assert len(got) == len(set(got)) and len(want) > 6000
+    assert len(want & set(got)) / len(want) >= 0.99 and len(set(got) - want) <= 0.01 * len(want)
+
+
+def test_blocks_of_crowds_lose_nothing(spark):
+    x = crowd(400, 0.9, 800)
+    a, b = ({tuple(r) for r in near_pairs(frame(spark, x), "id", "v", crowd_block=s).select("id_a", "id_b").collect()} for s in (8192, 90))
+    assert a == b and a
+
+
 def test_exact_copies(spark):
     x = clusters(40, seed=5)
     x = np.concatenate([x, np.repeat(x[:1], 30, axis=0), np.repeat(x[1:2], 4, axis=0)])
