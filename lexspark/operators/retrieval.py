@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.functions.lookup import light_stem, matches_search
 from lexspark.functions.text import tokens
 from lexspark.operators.topn import TopN
+from lexspark.session import durable
 
 K1, B, USUAL_LENGTH = 1.2, 0.75, 600.0
 ALPHA = 0.85
@@ -223,6 +225,84 @@ def gated(tier: DataFrame, so_far: DataFrame, fewer_than: int) -> DataFrame:
     return tier.join(full, "query_id", "left_anti")
 
 
+def containing(rows: DataFrame, id_: str, cols: list[str], queries: DataFrame, n: int, query_block: int = 4096) -> DataFrame:
+    """(query_id, id_): the n rows with the lowest ids that have the text of a query in any of the columns, without regard to case.
+
+    queries: query_id, text. Each text is looked for once. Texts go to the tasks in blocks of a fixed size, one pass over the
+    rows for each.
+    """
+    texts = queries.select(F.lower("text").alias("_t")).distinct()
+    parts = max(1, ceil(texts.count() / query_block))
+    lower = rows.select(id_, F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in cols]).alias("_in"))
+    found = None
+    for part in range(parts):
+        mine = texts.where(F.pmod(F.xxhash64("_t"), F.lit(parts)) == part)
+        one = lower.join(F.broadcast(mine), F.exists("_in", lambda x: F.contains(x, F.col("_t")))).select("_t", id_)
+        found = one if found is None else found.unionByName(one)
+    place = F.row_number().over(Window.partitionBy("_t").orderBy(id_))
+    first = found.distinct().withColumn("_place", place).where(F.col("_place") <= n)
+    return queries.select("query_id", F.lower("text").alias("_t")).join(first, "_t").select("query_id", id_)
+
+
+def full_text(rows: DataFrame, id_: str, text: Column, queries: DataFrame, n: int) -> DataFrame:
+    """(query_id, id_): the n rows with the lowest ids whose text meets the search of a query (`matches_search`).
+
+    Every choice of a search needs its longest wanted word, so that only rows with this word are looked at.
+    """
+    stems = lambda c: F.transform(tokens(c), light_stem)
+    wanted = lambda g: F.regexp_replace(g, r'(^|\s)-("[^"]*"|\S+)', " ")
+    longest = lambda g: F.array_max(F.transform(stems(wanted(g)), lambda w: F.struct(F.length(w), w.alias("w"))))["w"]
+    words = rows.select(id_, text.alias("_text")).withColumn("_w", F.explode(F.array_distinct(stems(F.col("_text")))))
+    texts = queries.select("text").distinct()
+    asked = texts.select("text", F.explode(F.array_distinct(F.transform(F.split("text", r"(?i)\s+or\s+"), longest))).alias("_w"))
+    hit = words.join(asked, "_w").where(matches_search(F.col("_text"), F.col("text"))).select("text", id_).distinct()
+    place = F.row_number().over(Window.partitionBy("text").orderBy(id_))
+    first = hit.withColumn("_place", place).where(F.col("_place") <= n)
+    return queries.select("query_id", "text").join(first, "text").select("query_id", id_)
+
+
+def cascade(queries: DataFrame, search: DataFrame, norms: DataFrame, laws: DataFrame, few: int = 3, short: int = 20) -> DataFrame:
+    """(query_id, tier, id, law_id, law_key, score): all tiers of a search, one appended to the other; tiers may repeat a law.
+
+    abbreviation 0.95: laws whose key is a word of the query; search: rows of the search with their scores; norm 0.65: for
+    queries with fewer than `few` rows of the search, norms with the text of the query in content, title or norm_id; full text
+    0.9: laws that meet the query; law 0.5: for queries without any row, laws with the text in title, other title or key. Where
+    a key is named, a query of at most `short` characters has no other tier.
+
+    queries: query_id, text; search: query_id, id, law_key, score; norms: id, law_key, norm_title, norm_id, content; laws:
+    law_id, law_key, law_title, alt_title. At most 20 rows of each tier and query, 50 of the full text.
+    """
+    asked = queries.where(F.trim("text") != "").select("query_id", "text")
+    keys = laws.select("law_id", "law_key").where(F.col("law_key").isNotNull())
+    words = F.array_union(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), 0), F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+(?:[-/_][\p{L}\p{N}]+)*"), 0))
+    named = asked.select("query_id", F.explode(F.filter(words, lambda w: w.rlike(r"^\p{Lu}"))).alias("law_key")).join(keys, "law_key")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("law_id"))
+    named = named.withColumn("_place", place).where(F.col("_place") <= 20).select("query_id", "law_id")
+    rest = asked.join(named.select("query_id", F.lit(True).alias("_named")).distinct(), "query_id", "left")
+    rest = rest.where(F.col("_named").isNull() | (F.length("text") > short)).select("query_id", "text")
+
+    def of_laws(found: DataFrame, tier: str, score: float) -> DataFrame:
+        return found.join(laws.select("law_id", "law_key"), "law_id").select(
+            "query_id", F.lit(tier).alias("tier"), F.lit(None).cast("long").alias("id"), "law_id", "law_key", F.lit(score).alias("score")
+        )
+
+    def of_norms(found: DataFrame, tier: str) -> DataFrame:
+        none = F.lit(None).cast("long").alias("law_id")
+        return found.select("query_id", F.lit(tier).alias("tier"), "id", none, "law_key", "score")
+
+    searched = search.join(rest, "query_id", "left_semi")
+    weak = containing(norms, "id", ["content", "norm_title", "norm_id"], gated(rest, searched, few), 20)
+    weak = weak.join(norms.select("id", "law_key"), "id").withColumn("score", F.lit(0.65))
+    title = F.concat_ws(" ", "law_key", "law_title", "alt_title")
+    # each tier is found once, the gate of the last one needs them all
+    so_far = durable(
+        of_laws(named, "abbreviation", 0.95).unionByName(of_norms(searched, "search")).unionByName(of_norms(weak, "norm"))
+        .unionByName(of_laws(full_text(laws, "law_id", title, rest, 50), "full text", 0.9))
+    )
+    last = containing(laws, "law_id", ["law_title", "alt_title", "law_key"], gated(rest, so_far, 1), 20)
+    return so_far.unionByName(of_laws(last, "law", 0.5))
+
+
 def homogeneity(rows: DataFrame, group: str) -> DataFrame:
     """(query_id, share, top): share of the commonest group among a query's rows, and the best score."""
     per = rows.groupBy("query_id", group).agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top"))

@@ -9,9 +9,10 @@ from lexspark.functions.notation import stripped
 from lexspark.functions.text import query_keywords, query_terms, STOP_WORDS, trigram_similarity, trigrams
 from lexspark.operators.evaluate import mean_metrics, ranking_metrics
 from lexspark.operators.retrieval import (
-    any_ilike, bm25_pool, bm25_topn, dense_topn, diversify, fuse, gated, group_hits, homogeneity, keyword_boost,
+    any_ilike, bm25_pool, bm25_topn, cascade, dense_topn, diversify, fuse, gated, group_hits, homogeneity, keyword_boost,
 )
 from lexspark.plans.common import CORPUS, LAWS, corpus, current_laws, trim
+from lexspark.session import durable
 from lexspark.sources.tables import table
 
 TOP = 10
@@ -144,7 +145,7 @@ def abbreviations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tiered_union(spark: SparkSession, d: str) -> DataFrame:
-    """Laws for each question by tiers: words of a title (0.9), then, for questions with fewer than 3, parts of words
+    """Laws alone for each question (all tiers of the search: `tiered_search`): words of a title (0.9), then, for questions with fewer than 3, parts of words
     in title, alternative title or key (0.65), then, for those with none, any law by trigrams (0.5)."""
     asked = table(spark, d, "eval_items").select(
         F.col("item_id").alias("query_id"), query_keywords(F.col("question_text")).alias("keywords"),
@@ -165,6 +166,16 @@ def tiered_union(spark: SparkSession, d: str) -> DataFrame:
     return so_far.unionByName(near)
 
 
+def tiered_search(spark: SparkSession, d: str) -> DataFrame:
+    """All tiers of the search, over all norms and laws. Queries: the titles of the norms whose id is divisible by 100, also
+    of those without vector, which the hybrid search cannot answer."""
+    rows = corpus(spark, d)
+    asked = rows.where((F.col("id") % 100 == 0) & F.col("norm_title").isNotNull())
+    search = durable(_hybrid(spark, d).select("query_id", "id", "law_key", "score"))
+    queries = asked.select(F.col("id").alias("query_id"), F.col("norm_title").alias("text"))
+    return cascade(queries, search, rows.drop("vec"), current_laws(spark, d))
+
+
 def trigram_match(spark: SparkSession, d: str) -> DataFrame:
     """Trigram similarity of title and alternative title of each law."""
     return current_laws(spark, d).select(
@@ -176,7 +187,7 @@ QUERIES = {
     "dense_topk": dense_topk, "dense_diversified": dense_diversified, "vector_label_recall": vector_label_recall,
     "hybrid_search": hybrid_search, "law_grouping": law_grouping, "homogeneous": homogeneous, "context_top10": context_top10,
     "bm25_topk": bm25_topk, "eval_by_query": eval_by_query, "eval_recall_mrr": eval_recall_mrr, "query_words": query_words,
-    "abbreviations": abbreviations, "tiered_union": tiered_union, "trigram_match": trigram_match,
+    "abbreviations": abbreviations, "tiered_union": tiered_union, "tiered_search": tiered_search, "trigram_match": trigram_match,
 }
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"

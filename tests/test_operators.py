@@ -177,3 +177,20 @@ def test_mean_cosine_equals_pairs(spark):
     v = spark.createDataFrame([(i, i % 2, [float(i + 1), float(i * i % 5), 1.0]) for i in range(9)], "id long, g int, vec array<float>")
     pairs = {r["g"]: r["mean"] for r in quality.sampled_cosines(v, "g").collect()}
     assert {r["g"]: r["mean"] for r in quality.mean_cosines(v, "g").collect()} == pytest.approx(pairs, abs=1e-6)
+
+
+def test_cascade_has_all_tiers(spark):
+    asked = [(1, "Kostenrecht"), (2, "BauG Luftantrag der Gemeinde"), (3, "BauG"), (4, "sonderfall"), (5, "Strand"), (6, " "), (7, "Strand -Ordnung"), (8, "kurz or Hafen")]
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    search = spark.createDataFrame([(2, i, "X", 0.8) for i in (1, 2, 3)] + [(3, 1, "X", 0.8), (1, 9, "X", 0.7)], "query_id long, id long, law_key string, score double")
+    norms = [(1, "X", "a", "1", "Vom KOSTENRECHT allgemein"), (2, "X", "Kostenrecht", "2", None), (3, "Y", "c", "Kostenrecht 3", ""), (4, "Y", "d", "4", "BauG Luftantrag der Gemeinde, BauG")]
+    norms = spark.createDataFrame(norms, "id long, law_key string, norm_title string, norm_id string, content string")
+    laws = [(10, "BauG", "Gesetz zum Bau", None), (11, "HfO", "Hafenordnung", "Strand und Hafen"), (12, "SFV", "Sonderfallverordnung", "")]
+    laws = spark.createDataFrame(laws, "law_id long, law_key string, law_title string, alt_title string")
+    got = retrieval.cascade(queries, search, norms, laws).collect()
+    assert sorted((r["query_id"], r["tier"], r["id"] or r["law_id"], r["law_key"], r["score"]) for r in got) == [
+        (1, "norm", 1, "X", 0.65), (1, "norm", 2, "X", 0.65), (1, "norm", 3, "Y", 0.65), (1, "search", 9, "X", 0.7),
+        (2, "abbreviation", 10, "BauG", 0.95), (2, "search", 1, "X", 0.8), (2, "search", 2, "X", 0.8), (2, "search", 3, "X", 0.8),
+        (3, "abbreviation", 10, "BauG", 0.95), (4, "law", 12, "SFV", 0.5), (5, "full text", 11, "HfO", 0.9),
+        (7, "full text", 11, "HfO", 0.9), (8, "full text", 11, "HfO", 0.9),
+    ]
