@@ -360,7 +360,15 @@ def near_pairs(
 
 def _mutual(scored: DataFrame, index: DataFrame, good: DataFrame, k: int) -> DataFrame:
     """Mutual k nearest among rows, from the similar pairs (a, b, cosine) of folded vectors."""
-    rows = index.select("id", "rows")
+    # rows of folded vectors: the first k + 1 ids, each once however often it was delivered
+    folded = index.where(F.col("rows") > 1).select("h1", "h2", F.col("id").alias("rep"))
+    hashed = good.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
+    place = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("id"))
+    lowest = hashed.withColumn("place", place).where(F.col("place") <= k + 1)
+    members = durable(lowest.join(folded, ["h1", "h2"]).groupBy("rep").agg(F.sort_array(F.collect_set("id")).alias("ids")))
+    # more than k + 1 rows count as k + 1, which already leaves no place for others
+    sizes = members.select(F.col("rep").alias("id"), F.size("ids").alias("n"))
+    rows = index.select("id").join(sizes, "id", "left").select("id", F.coalesce("n", F.lit(1)).cast("long").alias("rows"))
     both = scored.select(F.col("a").alias("x"), F.col("b").alias("y"), "cosine").unionByName(
         scored.select(F.col("b").alias("x"), F.col("a").alias("y"), "cosine")
     )
@@ -376,17 +384,6 @@ def _mutual(scored: DataFrame, index: DataFrame, good: DataFrame, k: int) -> Dat
     one = allowed.select(F.col("x").alias("a"), F.col("y").alias("b"), "cosine", F.col("n").alias("nb"))
     two = allowed.select(F.col("y").alias("a"), F.col("x").alias("b"), F.col("n").alias("na"))
     mutual = one.where(F.col("a") < F.col("b")).join(two, ["a", "b"])
-    # rows of folded vectors: the first k + 1 ids
-    folded = index.where(F.col("rows") > 1).select("h1", "h2", F.col("id").alias("rep"))
-    hashed = good.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
-    place = F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))
-    lowest = hashed.withColumn("place", place).where(F.col("place") <= k + 1)
-    members = (
-        lowest.join(folded, ["h1", "h2"])
-        .groupBy("rep")
-        .agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda s: s["id"])).alias("ids"))
-    )
-
     def own(name: str) -> DataFrame:
         return members.select(F.col("rep").alias(name), F.col("ids").alias(f"ids_{name}"))
 

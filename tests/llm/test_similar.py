@@ -71,6 +71,15 @@ def test_exact_copies(spark):
     assert got == want
 
 
+def test_repeated_rows_count_once(spark):
+    x = clusters(60, seed=6)
+    x = np.concatenate([x, np.repeat(x[:1], 14, axis=0), np.repeat(x[1:2], 3, axis=0)])
+    want, _ = brute(x)
+    ids = list(range(len(x))) * 2 + [0] * 10 + [2] * 10 + [len(x) - 1] * 10
+    got = near_pairs(frame(spark, x[ids], ids), "id", "v").select("id_a", "id_b").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
+
+
 def test_unusable_vectors_and_empty_tables(spark):
     ones = [1.0] * 64
     x = [ones, ones, None, [0.0] * 64, [float("nan")] + ones[1:], [float("inf")] + ones[1:], ones[:32], [None] + ones[1:], [1e-30] * 64]
