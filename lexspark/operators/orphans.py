@@ -3,7 +3,8 @@
 Two tables are the state. The parent index has one row per (target, key): when the parent first arrived, when it was
 deleted. The reference state has one row per reference with the intervals it has been an orphan. A batch brings new
 references, which probe the index, and parent events: an arrival resolves the references that wait for it, a deletion
-opens them again. Only open references and those of keys that the batch deletes are probed anew.
+opens them again, and an earlier arrival than known may end that a reference was late. Only open references, those delivered
+again and those of keys that the batch deletes or moves to an earlier arrival are probed anew.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from lexspark.functions.notation import month_of_micros
 from lexspark.operators.skew import skew_left_join
 
+REFERENCE = ("src_table", "src_id", "ref_field", "target", "key")
 PARENTS = "target string, key string, first_at long, deleted_at long"
 REFERENCES = (
     "src_table string, src_id string, ref_field string, target string, key string, ref_at long, "
@@ -23,7 +25,8 @@ REFERENCES = (
 
 def empty_state(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     """(parent index, reference state) before the first batch."""
-    return spark.createDataFrame([], PARENTS), spark.createDataFrame([], REFERENCES)
+    # the limit tells the optimizer, which then plans no join with it
+    return spark.createDataFrame([], PARENTS).limit(0), spark.createDataFrame([], REFERENCES).limit(0)
 
 
 def merge_parents(index: DataFrame, events: DataFrame) -> DataFrame:
@@ -46,22 +49,31 @@ def advance(
     """The next (parent index, reference state); write both between batches (a table, or session.durable).
 
     references: src_table, src_id, ref_field, target, key, ref_at (microseconds or null). Those with a null key are no
-    references. Rows that are delivered again (same table, id, field and key) count once, the earliest `ref_at` holds.
-    Extra columns are ignored.
+    references. Rows that are delivered again (same table, id, field and key), in one batch or in later ones, count once, the
+    earliest `ref_at` holds. Extra columns are ignored.
     """
     parents = merge_parents(index, events)
     fresh = (
         references.where(F.col("key").isNotNull())
-        .groupBy("src_table", "src_id", "ref_field", "target", "key")
-        .agg(F.min("ref_at").alias("ref_at"))
-        .withColumns({c: F.lit(False) for c in ("was_missing", "was_late", "was_deleted")})
-        .withColumns({"open": F.lit(True), "resolved_at": F.lit(None).cast("long")})
+        .select(*REFERENCE, "ref_at")
+        .withColumns({c: F.lit(False) for c in ("was_missing", "was_deleted")})
     )
-    deleted = events.where(F.col("deleted_at").isNotNull()).select("target", "key").distinct()
+    deleted = events.where(F.col("deleted_at").isNotNull()).select("target", "key")
+    early = events.groupBy("target", "key").agg(F.min(F.coalesce("first_at", F.lit(-(2**62)))).alias("early"))
+    moved = early.join(index, ["target", "key"]).where(F.col("early") < F.col("first_at")).select("target", "key")
+    touched = deleted.unionByName(moved).distinct()
     closed = state.where(~F.col("open"))
-    reopened = closed.join(deleted, ["target", "key"], "left_semi")
-    untouched = closed.join(deleted, ["target", "key"], "left_anti")
-    probing = state.where("open").unionByName(reopened).unionByName(fresh)
+    again = fresh.select(*[F.col(c).alias(f"_{c}") for c in REFERENCE]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in REFERENCE]
+    still = closed.join(touched, ["target", "key"], "left_anti")
+    untouched = still.join(again, same, "left_anti")
+    reopened = closed.join(touched, ["target", "key"], "left_semi").unionByName(still.join(again, same, "left_semi"))
+    # one row per reference, of the state and of this batch
+    probing = (
+        state.where("open").unionByName(reopened).select(*fresh.columns).unionByName(fresh)
+        .groupBy(*REFERENCE)
+        .agg(F.min("ref_at").alias("ref_at"), *[F.max(c).alias(c) for c in ("was_missing", "was_deleted")])
+    )
     probing = probing.withColumn("probe", F.concat_ws("\x01", "target", "key"))
     looked = skew_left_join(
         probing,
@@ -74,12 +86,12 @@ def advance(
     probed = looked.select(
         "src_table", "src_id", "ref_field", "target", "key", "ref_at",
         (F.col("was_missing") | missing).alias("was_missing"),
-        (F.col("was_late") | F.coalesce(F.col("first_at") > F.col("ref_at"), F.lit(False))).alias("was_late"),
+        F.coalesce(F.col("first_at") > F.col("ref_at"), F.lit(False)).alias("was_late"),
         (F.col("was_deleted") | gone).alias("was_deleted"),
         (missing | gone).alias("open"),
         F.when(~missing & ~gone, F.col("first_at")).alias("resolved_at"),
     )
-    return parents, untouched.unionByName(probed)
+    return parents, untouched.select(*probed.columns).unionByName(probed)
 
 
 def orphan_cases(state: DataFrame) -> DataFrame:

@@ -51,6 +51,33 @@ def test_batches_equal_one_batch(spark):
     assert cases(state[1]) == whole
 
 
+def test_divisions_with_repeated_rows_equal_one_batch(spark):
+    rnd = random.Random(2)
+    keys = [f"k{i}" for i in range(8)]
+    r = [(rnd.choice((None, *(f"r{i}" for i in range(25)))), rnd.choice(keys), rnd.choice((None, rnd.randint(1, 100)))) for _ in range(90)]
+    e = [(rnd.choice(keys[:6]), rnd.choice((None, *[rnd.randint(1, 150)] * 9)), rnd.choice((None, None, None, None, 120))) for _ in range(24)]
+
+    def result(state):
+        rows = [tuple(x[c] for c in ("src_id", "key", "ref_at", "was_late", "was_deleted", "open", "resolved_at")) for x in state.collect()]
+        return sorted(rows, key=str), sorted(map(tuple, orphan_counts(state).collect()), key=str)
+
+    whole = advance(*empty_state(spark), refs(spark, r), events(spark, e))[1]
+    for cuts in (2, 4):
+        state = empty_state(spark)
+        for part in range(cuts):
+            state = step(state, refs(spark, r[part::cuts]), events(spark, e[part::cuts]))
+        assert result(state[1]) == result(whole)
+
+
+def test_earlier_arrival_and_second_delivery(spark):
+    state = step(empty_state(spark), refs(spark, [("a", "k", 5), ("b", "k", 9)]), events(spark, [("k", 8, None)]))
+    assert cases(state[1]) == ["a"]
+    state = step(state, refs(spark, [("b", "k", 2)]), events(spark, []))
+    assert cases(state[1]) == ["a", "b"]
+    state = step(state, refs(spark, [("b", "k", 9)]), events(spark, [("k", 3, None)]))
+    assert cases(state[1]) == ["b"] and state[1].count() == 2
+
+
 def test_deletion_reopens_and_arrival_resolves(spark):
     state = step(empty_state(spark), refs(spark, [("a", "k", 5)]), events(spark, []))
     assert cases(state[1]) == ["a"]
