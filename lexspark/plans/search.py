@@ -67,8 +67,8 @@ def _hybrid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """The whole pipeline: dense pool, dead norms out, BM25, fusion, keyword boost, diversity. Queries: the titles and
-    vectors of the norms whose id is divisible by 100."""
+    """Dense pool over all categories, dead norms out, BM25, fusion, keyword boost, diversity. Queries: the titles and vectors
+    of the norms whose id is divisible by 100. Category filter and expansion of the query are left out (README)."""
     return _hybrid(spark, d).select("query_id", "id", "law_key", "dense", "bm25", "score", F.col("place").cast("long").alias("place"))
 
 
