@@ -78,7 +78,7 @@ def law_grouping(spark: SparkSession, d: str) -> DataFrame:
 
 
 def homogeneous(spark: SparkSession, d: str) -> DataFrame:
-    """How much one law dominates each answer, and whether the search should be widened."""
+    """How much one law dominates each answer, and whether the search should be widened for that; it is not widened (README)."""
     return homogeneity(_hybrid(spark, d), "law_key").withColumn("widen", (F.col("share") > 0.6) & (F.col("top") < 0.6))
 
 
