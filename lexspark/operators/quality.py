@@ -38,12 +38,13 @@ def shares(df: DataFrame, group: str) -> DataFrame:
     return counted.withColumn("share", F.round(F.col("rows") / total, 6))
 
 
-def sampled_cosines(vectors: DataFrame, group: str, sample: int = 50) -> DataFrame:
+def sampled_cosines(vectors: DataFrame, group: str, sample: int = 50, by_hash: bool = False) -> DataFrame:
     """Cosines of all pairs among the `sample` lowest ids of each group: pairs, mean, least, greatest.
 
     vectors: id, the group, vec. A bounded sample is the definition of this figure; see `mean_cosines` for all pairs.
+    `by_hash`: those with the lowest hashes of the id instead, which prefer no ids.
     """
-    rank = F.row_number().over(Window.partitionBy(group).orderBy("id"))
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(*([F.xxhash64("id", F.lit("sample"))] if by_hash else []), "id"))
     some = vectors.withColumn("n", rank).where(F.col("n") <= sample).select(group, "id", doubles(F.col("vec")).alias("v"))
     a, b = some.select(group, F.col("id").alias("a"), F.col("v").alias("va")), some.select(group, F.col("id").alias("b"), F.col("v").alias("vb"))
     pairs = a.join(b, group).where(F.col("a") < F.col("b")).withColumn("c", cosine(F.col("va"), F.col("vb")))
@@ -71,6 +72,14 @@ def mean_cosines(vectors: DataFrame, group: str) -> DataFrame:
     )
 
 
+def label_cosines(vectors: DataFrame, group: str, sample: int = 50) -> DataFrame:
+    """(group, n, mean, pairs, least, greatest): mean cosine over all pairs of all n, and least and greatest among the pairs of
+    a sample by hash. A group of one has no pairs."""
+    drawn = sampled_cosines(vectors, group, sample, by_hash=True).select(group, "pairs", "least", "greatest")
+    whole = mean_cosines(vectors, group).select(group, "n", "mean").join(drawn, group, "left")
+    return whole.withColumn("pairs", F.coalesce("pairs", F.lit(0)))
+
+
 def cross_cosines(vectors: DataFrame, group: str) -> DataFrame:
     """(a, b, mean): mean cosine over all pairs between two groups, from their sums; as many rows as pairs of groups."""
     s = unit_sums(vectors, group)

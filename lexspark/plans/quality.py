@@ -101,9 +101,14 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def intra_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """Of the 50 lowest ids of each label; `label_cosines` has all pairs and a sample by hash."""
     return Q.sampled_cosines(_vectors(spark, d), "label")
 
 
+def label_cosines(spark: SparkSession, d: str) -> DataFrame:
+    return Q.label_cosines(_vectors(spark, d), "label")
+
+
 def centroids(spark: SparkSession, d: str) -> DataFrame:
     return Q.mean_cosines(_vectors(spark, d), "label")
 
@@ -142,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         empty_by_law, length_histogram, category_share, other_average, short_content_top, category_listing, coverage_missing,
-        stale_counts, token_drift, folder_faults, added_by_day, intra_cosine, centroids, inter_cosine, centred_cosine,
+        stale_counts, token_drift, folder_faults, added_by_day, intra_cosine, label_cosines, centroids, inter_cosine, centred_cosine,
         vector_faults, health,
     )
 }

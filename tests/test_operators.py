@@ -194,3 +194,14 @@ def test_cascade_has_all_tiers(spark):
         (3, "abbreviation", 10, "BauG", 0.95), (4, "law", 12, "SFV", 0.5), (5, "full text", 11, "HfO", 0.9),
         (7, "full text", 11, "HfO", 0.9), (8, "full text", 11, "HfO", 0.9),
     ]
+
+
+def test_label_cosines_use_all_rows(spark):
+    # the lowest ids are all alike, the others point elsewhere
+    v = spark.createDataFrame([(i, "a", [1.0, 0.0] if i < 60 else [0.0, 1.0]) for i in range(600)] + [(600, "b", [1.0, 1.0])], "id long, g string, vec array<float>")
+    got = {r["g"]: r for r in quality.label_cosines(v, "g").collect()}
+    same = 60 * 59 + 540 * 539
+    assert got["a"]["n"] == 600 and got["a"]["pairs"] == 1225 and got["a"]["mean"] == pytest.approx(same / (600 * 599), abs=1e-6)
+    assert (got["a"]["least"], got["a"]["greatest"]) == (0.0, 1.0)
+    assert tuple(got["b"])[1:] == (1, None, 0, None, None)
+    assert quality.sampled_cosines(v, "g").where("g = 'a'").first()["least"] == 1.0
