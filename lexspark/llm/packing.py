@@ -10,12 +10,14 @@ third of all items share is ranked by many tasks.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import ceil
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 64
+from lexspark.session import durable
 
 
 def combinations(classes: int, deepest: int = 4) -> np.ndarray:
@@ -151,41 +153,43 @@ def items_of(df: DataFrame, key: str, size, capacity: int) -> DataFrame:
     return each.select(key, "piece_no", start.alias("start"), F.least(F.lit(capacity), F.col("n") - start).alias("size"), "pieces")
 
 
-def pack(df: DataFrame, key: str, size, capacity: int = 4096, classes: int = 256) -> DataFrame:
+def pack(df: DataFrame, key: str, size, capacity: int = 4096, classes: int = 256, per_cell: int = 100_000) -> DataFrame:
     """(key, piece_no, start, size, pieces, container_id): every item or piece in its container.
 
     `size` is a column, the length of the row's item. Sizes are rounded up to `capacity / classes` for planning, so that
     no container is over its capacity. Containers are numbered from 0. Repeated rows are items of their own; rows
-    without size have no place. The driver sees the histogram of `classes` counts and nothing else.
+    without size have no place. Only keys and sizes are kept and shuffled, and what the sizes come from is read once.
+
+    A class has a cell for about every `per_cell` items, which is what one task ranks, so that a length that a third of all
+    items share is ranked by as many tasks as it needs. The driver sees the histogram of cells and nothing else: `classes`
+    counts and one more for every `per_cell` items.
     """
     if capacity % classes:
         raise ValueError("classes must divide capacity")
     unit = capacity // classes
     spark = df.sparkSession
-    items = items_of(df, key, size, capacity).withColumns(
-        {
-            "cls": F.ceil(F.col("size") / unit).cast("int"),
-            "cell": F.pmod(F.xxhash64(key, "piece_no"), F.lit(CELLS)).cast("int"),
-        }
-    )
-    # at most classes * CELLS rows at any size of the input
-    cells = items.groupBy("cls", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    count = np.zeros((classes + 1, CELLS), "i8")
-    for r in cells:
-        count[r["cls"], r["cell"]] = r["n"]
-    plan = make_plan(count.sum(axis=1))
-    before = count.cumsum(axis=1) - count
-    offsets = [(c, k, int(before[c, k])) for c, k in zip(*np.nonzero(count), strict=True)]
-    offsets = spark.createDataFrame([(int(c), int(k), o) for c, k, o in offsets], "cls int, cell int, before long")
+    items = durable(items_of(df, key, size, capacity).withColumn("cls", F.ceil(F.col("size") / unit).cast("int")))
+    # as many rows as there are classes
+    parts = {r["cls"]: max(1, ceil(r["n"] / per_cell)) for r in items.groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    number = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in parts.items() for x in p]), "cls") if parts else F.lit(1), F.lit(1))
+    placed = items.withColumn("cell", F.pmod(F.xxhash64(key, "piece_no"), number).cast("int"))
+    cells = placed.groupBy("cls", "cell").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    cls, cell, n = (cells[c].to_numpy() for c in ("cls", "cell", "n"))
+    plan = make_plan(np.bincount(cls, n, minlength=classes + 1).astype("i8"))
+    order = np.lexsort((cell, cls))
+    cls, cell, n = cls[order], cell[order], n[order]
+    total = np.cumsum(n) - n
+    before = total - total[np.searchsorted(cls, cls)]
+    offsets = spark.createDataFrame(pa.table({"cls": cls.astype("i4"), "cell": cell.astype("i4"), "before": before.astype("i8")}))
     by_class: dict[int, list] = {}
-    for c, first, n, base, m in plan.ranges:
-        by_class.setdefault(c, []).append((first, n, base, m))
+    for c, first, k, base, m in plan.ranges:
+        by_class.setdefault(c, []).append((first, k, base, m))
     ranges = spark.createDataFrame(
         list(by_class.items()), "cls int, ranges array<struct<first: long, n: long, base: long, m: long>>"
     )
     rank = F.row_number().over(Window.partitionBy("cls", "cell").orderBy(key, "piece_no")) - 1
     ranked = (
-        items.withColumn("_rank", rank)
+        placed.withColumn("_rank", rank)
         .join(F.broadcast(offsets), ["cls", "cell"])
         .join(F.broadcast(ranges), "cls")
         .withColumn("_rank", F.col("_rank") + F.col("before"))
@@ -195,3 +199,9 @@ def pack(df: DataFrame, key: str, size, capacity: int = 4096, classes: int = 256
     )[0]
     container = own["base"] + F.floor((F.col("_rank") - own["first"]) / own["m"])
     return ranked.select(key, "piece_no", "start", "size", "pieces", container.cast("long").alias("container_id"))
+
+
+def divided(packed: DataFrame, key: str) -> DataFrame:
+    """(key, containers) of the items of `pack` that lie in several containers."""
+    spread = packed.where(F.col("pieces") > 1).groupBy(key).agg(F.count_distinct("container_id").alias("containers"))
+    return spread.where(F.col("containers") > 1)
