@@ -75,3 +75,33 @@ def test_rows(spark):
     assert split_oversized(df.where("id > 9"), "id", "t").count() == 0
     with pytest.raises(ValueError):
         split_oversized(df, "id", "t", 10, 10)
+
+
+def words(n, name="wort"):
+    return " ".join([name] * n)
+
+
+def test_no_piece_crosses_a_heading_unless_sections_are_whole():
+    text = "# A\n" + words(300, "aa") + "\n# B\n" + words(20, "bb") + "\n# C\n" + words(20, "cc")
+    pieces = [text[fresh:stop] for _, fresh, stop, _, _ in check(text, 256, 32)]
+    assert ["aa" in p for p in pieces] == [True, True, False]
+    assert "# B" in pieces[2] and "# C" in pieces[2] and "# B" not in pieces[1]
+
+
+def test_headings_have_depth():
+    text = "".join(f"# T{i}\n" + "".join(f"## U{i}{j}\n{words(30)}\n" for j in range(3)) for i in range(3))
+    pieces = [text[fresh:stop] for _, fresh, stop, _, _ in check(text, 110, 0)]
+    assert [p.split("\n")[0] for p in pieces] == ["# T0", "# T1", "# T2"]
+    pieces = [text[fresh:stop] for _, fresh, stop, _, _ in check(text, 70, 0)]
+    # a section that is too large leaves its last part alone
+    assert [p.split("\n")[0] for p in pieces] == ["# T0", "## U02", "# T1", "## U12", "# T2", "## U22"]
+
+
+def test_lists_nest():
+    text = "\n".join(f"{i}. {words(5)}\n" + "\n".join(f"   {c}) {words(9)}" for c in "abc") for i in range(1, 7))
+    pieces = [text[fresh:stop].strip() for _, fresh, stop, _, _ in check(text, 75, 0)]
+    assert [p.split()[0] for p in pieces] == ["1.", "3.", "5."]
+    kinds = [KINDS[k] for *_, k in check(text, 30, 0)]
+    assert set(kinds) == {"item", "section"}
+    html = "<ul>\n" + "\n".join(f"<li>{words(5)}\n<ul>\n<li>{words(9)}\n<li>{words(9)}\n</ul>" for _ in range(5)) + "\n</ul>"
+    check(html, 30, 3)
