@@ -93,37 +93,57 @@ class WuManber:
             same &= flat[first + j] == self.flat[self.begin[text] + place + j]
         return row[same], (first - begin[row])[same], text[same], place[same]
 
-    def leaks(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray, run: int, stretch: int, per: int, chunk: int = 4096) -> tuple[np.ndarray, ...]:
-        """(row, text, longest run, longest stretch) of the confirmed pairs of row and text."""
+    def leaks(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray, run: int, stretch: int, per: int, cells: int = 2_000_000) -> tuple[np.ndarray, ...]:
+        """(row, text, longest run, longest stretch) of the confirmed pairs of row and text.
+
+        Text and row are laid side by side at each offset at which a window occurs, and only the words that lie beside one
+        another are held, `cells` of them at a time, or those of one offset.
+        """
         row, at, text, place = self.occurrences(flat, begin, end)
         if not len(row):
             return row, text, row, row
         lay = np.unique(np.stack([row, text, at - place], 1), axis=0)
-        out = []
-        for s in range(0, len(lay), chunk):
-            r, t, off = lay[s : s + chunk].T
-            width = int(self.length[t].max())
-            i = np.arange(width)
-            there = (i < self.length[t][:, None]) & (off[:, None] + i >= 0) & (off[:, None] + i < (end - begin)[r][:, None])
-            a = np.where(there, begin[r][:, None] + off[:, None] + i, 0)
-            b = np.where(there, self.begin[t][:, None] + i, 0)
-            equal = there & (flat[a] == self.flat[b])
-            # longest run of equal words
-            broke = np.maximum.accumulate(np.where(equal, -1, i), axis=1)
-            longest = (i - broke).max(axis=1)
-            # longest stretch i < j with per * altered <= j - i: with s = count - per * altered, s[j] >= s[i]
-            score = np.zeros((len(r), width + 1), "i8")
-            np.cumsum(np.where(there, np.where(equal, 1, 1 - per), -(10**6)), axis=1, out=score[:, 1:])
-            best = np.zeros(len(r), "i8")
-            for n in range(width, stretch - 1, -1):
-                fits = (score[:, n:] >= score[:, :-n]).any(axis=1)
-                best = np.where((best == 0) & fits, n, best)
-                if best.all():
-                    break
+        r, t, off = lay.T
+        low, high = np.maximum(0, -off), np.minimum(self.length[t], (end - begin)[r] - off)
+        size = high - low
+        some = size >= min(run, stretch)  # shorter ones cannot hold a passage
+        r, t, off, low, size = r[some], t[some], off[some], low[some], size[some]
+        total = np.cumsum(size)
+        out = [(row[:0], text[:0], row[:0], row[:0])]
+        first = 0
+        while first < len(r):
+            last = max(first + 1, int(np.searchsorted(total, total[first] - size[first] + cells, side="right")))
+            k = slice(first, last)
+            longest, best = self._passages(flat, begin[r[k]] + off[k] + low[k], self.begin[t[k]] + low[k], size[k], stretch, per)
             ok = (longest >= run) | (best >= stretch)
-            out.append((r[ok], t[ok], longest[ok], best[ok]))
+            out.append((r[k][ok], t[k][ok], longest[ok], best[ok]))
+            first = last
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
+    def _passages(self, flat: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, stretch: int, per: int) -> tuple[np.ndarray, np.ndarray]:
+        """Longest run of equal words, and longest stretch (0 below `stretch`) with at most one word in `per` altered, of
+        flat[a : a + size] beside self.flat[b : b + size], for each of many such layouts."""
+        n = len(size)
+        start = np.cumsum(size) - size
+        of = np.repeat(np.arange(n), size)
+        i = np.arange(size.sum()) - start[of]
+        equal = flat[a[of] + i] == self.flat[b[of] + i]
+        place = np.arange(len(i))
+        longest = np.maximum.reduceat(place - np.maximum.accumulate(np.where(equal, start[of] - 1, place)), start)
+        # with s the sum of 1 for equal and 1 - per for altered words, i .. j is such a stretch if s[j] >= s[i]
+        s = np.zeros(len(i) + n, "i8")
+        wide = start + np.arange(n)  # a layout has one sum more than words
+        within = np.cumsum(np.where(equal, 1, 1 - per))
+        s[place + of + 1] = within - (within[start] - np.where(equal[start], 1, 1 - per))[of]
+        # layouts one below the other, so that each is searched by itself
+        owner = np.repeat(np.arange(n), size + 1)
+        s -= owner * (2 * per * (int(size.max()) + 1))
+        lowest = np.minimum.accumulate(s)
+        highest = np.maximum.accumulate(s[::-1])[::-1]  # the highest that is still to come never rises
+        end = np.searchsorted(-highest, -lowest, side="right") - 1
+        best = np.maximum.reduceat(end - np.arange(len(s)), wide)
+        return longest, np.where(best >= stretch, best, 0)
+
 
 def find_leaks(
     corpus: DataFrame,
@@ -142,7 +162,8 @@ def find_leaks(
 
     run_words is the longest run of unaltered words, stretch_words the longest stretch with few alterations (0: none of
     `stretch` words). The evaluation texts are what every task searches for; they are held in memory in blocks of at
-    most `block_words` words, one pass over the corpus for each block, so that a set of any size is searched. Null and
+    most `block_words` words, one pass over the corpus for each block, so that a set of any size is searched. A task compares
+    a bounded number of words at a time, and the work for a document and an item grows with their length. Null and
     empty texts on either side match nothing; repeated rows and extra columns change nothing.
     """
     spark = corpus.sparkSession

@@ -78,3 +78,19 @@ def test_writing_and_odd_rows(spark):
     assert find_leaks(d, "id", "t", q.where(F.lit(False)), "id", ["a"]).count() == 0
     with pytest.raises(ValueError):
         find_leaks(d, "id", "t", q, "id", ["a"], seed=9)
+
+
+def test_passages_hold_few_cells_and_long_texts():
+    r = np.random.default_rng(4)
+    item = r.integers(0, 2**60, 30_000).astype("u8")
+    doc = item.copy()
+    doc[::7] += np.uint64(1)
+    w = WuManber([item], 5)
+    flat = np.concatenate([doc, doc[5_000:20_000]])
+    begin, end = np.array([0, 30_000]), np.array([30_000, 45_000])
+    row, text, run, best = w.leaks(flat, begin, end, 12, 24, 7)
+    assert row.tolist() == [0, 1] and run.tolist() == [6, 6]
+    few = w.leaks(flat, begin, end, 12, 24, 7, cells=1)
+    assert all(np.array_equal(a, b) for a, b in zip((row, text, run, best), few))
+    # one of seven words is altered, beginning with the first: all but the very last block of the whole text fit
+    assert best[0] >= 29_990 and best[1] >= 14_990
