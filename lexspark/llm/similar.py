@@ -6,8 +6,8 @@ Spearman's footrule with missing pivots at the end, for which
 
     footrule(a, b) = m (m + 1) - 2 * sum over shared pivots of min(weight in a, weight in b),   weight = m - place
 
-so that ranking by footrule distance is ranking by the sum, which is gathered over the inverted files alone. Vectors
-that are near by footrule are reranked by their cosines.
+so that ranking by footrule distance is ranking by the sum, which is gathered over the inverted files alone. In each file
+every vector ranks the others by footrule, and the nearest of them are reranked by their cosines.
 
 Where pivots crowd, that is, many of them are similar to one another, the nearest pivots of a vector all come from its own
 cluster, and permutations of neighbours hardly overlap. Such clusters have heads; vectors near a head are compared by
@@ -34,6 +34,8 @@ LENGTH = 12  # pivots in a permutation
 POSTED = 6  # inverted files that a vector stands in
 BLOCK = 2048  # most vectors of an inverted file that one task compares with one another or with as many others
 MOST_PIVOTS = 16384
+RANKED = 128  # vectors of an inverted file, nearest by footrule, that a vector is reranked with; ties of the last one too
+FEW = 500_000  # most rows of 24 bytes that are sent to all tasks; more of them are shuffled
 CROWD = 0.8  # cosine to its head from which a vector belongs to a crowd
 CROWD_BLOCK = 8192  # rows of a crowd that one task compares with as many others
 
@@ -89,10 +91,15 @@ def crowd_heads(pivots: np.ndarray, length: int = LENGTH, near: float = CROWD) -
     return heads
 
 
+def _number(pivots: int) -> str:
+    """The type of a pivot's number, the low byte first."""
+    return "<u2" if pivots <= 1 << 16 else "<u4"
+
+
 def _permutations(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """Numbers of the nearest pivots of each row, nearest first; of equals the lower number."""
     length = min(length, len(pivots))
-    out = np.empty((len(x), length), "u2")
+    out = np.empty((len(x), length), _number(len(pivots)))
     for s in range(0, len(x), 512):
         c = x[s : s + 512] @ pivots.T
         near = np.sort(np.argpartition(-c, length - 1, axis=1)[:, :length], axis=1)
@@ -113,22 +120,29 @@ def _rows(column: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _represent(
-    rows: DataFrame, id_: str, vector: str, dim: int, pivots: np.ndarray, length: int, heads: np.ndarray, least: float
-) -> DataFrame:
-    """(id, h1, h2, perm, q, home, crowds, x): hashes of the vector as it is, its permutation, its components in 8 bits.
+def _hashed(good: DataFrame) -> DataFrame:
+    """(id, h1, h2) with hashes of the vector as it is."""
+    return good.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
+
 
-    home: the nearest head if it is near enough; crowds: heads whose members can have a cosine >= `least` with the vector
-    (angles add up at most); x: the unit vector of those that have any.
+def _represent(good: DataFrame, dim: int, pivots: np.ndarray, length: int, heads: np.ndarray, least: float) -> DataFrame:
+    """(id, perm, q, scale, home, crowds, x) of rows (id, v).
+
+    perm: the permutation; q, scale: what parts the unit vector from its nearest pivot, in 8 bits, so that the error is
+    small where vectors are close together; home: the nearest head if it is near enough; crowds: heads whose members can
+    have a cosine >= `least` with the vector (angles add up at most); x: the unit vector of those that have any.
     """
-    shared = rows.sparkSession.sparkContext.broadcast((pivots, heads))
+    shared = good.sparkSession.sparkContext.broadcast((pivots, heads))
     wide = np.cos(min(np.pi, np.arccos(CROWD) + np.arccos(min(1.0, max(-1.0, least))))) - 1e-4
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, heads = shared.value
         for b in batches:
             x = _matrix(b.column("v"), dim)
-            q = np.rint(x * (127 / np.abs(x).max(axis=1, keepdims=True))).astype("i1")
+            perm = _permutations(x, pivots, length)
+            apart = x - pivots[perm[:, 0]]
+            scale = np.maximum(np.abs(apart).max(axis=1, initial=0), 1e-30).astype("f4") / 127
+            q = np.rint(apart / scale[:, None]).astype("i1")
             if len(heads) and len(x):
                 c = x @ heads.T
                 home = np.where(c.max(axis=1) >= CROWD, c.argmax(axis=1), -1)
@@ -137,17 +151,14 @@ def _represent(
                 home, crowds = np.full(len(x), -1), [()] * len(x)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("id"), b.column("h1"), b.column("h2"), _fixed(_permutations(x, pivots, length)), _fixed(q),
+                    b.column("id"), _fixed(perm), _fixed(q), pa.array(scale),
                     pa.array(home, pa.int32()), pa.array(crowds, pa.list_(pa.int32())),
                     pa.array([r.tobytes() if len(k) else None for r, k in zip(x, crowds)], pa.binary()),
                 ],
-                names=["id", "h1", "h2", "perm", "q", "home", "crowds", "x"],
+                names=["id", "perm", "q", "scale", "home", "crowds", "x"],
             )
 
-    hashed = rows.select(
-        F.col(id_).alias("id"), F.xxhash64(vector).alias("h1"), F.xxhash64(F.lit(7), vector).alias("h2"), F.col(vector).alias("v")
-    )
-    return hashed.mapInArrow(work, "id long, h1 long, h2 long, perm binary, q binary, home int, crowds array<int>, x binary")
+    return good.select("id", "v").mapInArrow(work, "id long, perm binary, q binary, scale float, home int, crowds array<int>, x binary")
 
 
 def _nearest_of(s: np.ndarray, cols: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,10 +208,9 @@ def _crowd_pairs(index: DataFrame, k: int, least: float, block: int) -> DataFram
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        ids, home, own = t["id"].to_numpy(), t["home"].to_numpy(), t["own"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, home, own = ids[order], home[order], own[order]
-        x = _rows(t["x"].combine_chunks(), "f4")[order]
+        ids, first = np.unique(t["id"].to_numpy(), return_index=True)  # an id that was delivered again counts once
+        home, own = t["home"].to_numpy()[first], t["own"].to_numpy()[first]
+        x = _rows(t["x"].combine_chunks(), "f4")[first]
         crowd, i, j = (v.as_py() for v in key)
         found = []
         for here, there in {(i, j), (j, i)}:
@@ -222,8 +232,8 @@ def _crowd_pairs(index: DataFrame, k: int, least: float, block: int) -> DataFram
     return first.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def _inside(i: int, j: int, block: np.ndarray, perm: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of a part of an inverted file whose footrule weight is at least `reach` of the greatest possible.
+def _footrule(perm: np.ndarray) -> np.ndarray:
+    """The sums of footrule weights of all pairs of rows, a symmetric matrix; a row with itself has 0.
 
     The pivots of the rows are an inverted file of their own; sums are gathered over it, a bounded piece at a time.
     """
@@ -252,16 +262,29 @@ def _inside(i: int, j: int, block: np.ndarray, perm: np.ndarray, reach: float) -
             sums += np.bincount(cell, gain, minlength=n * n).astype("i4")
         else:
             np.add.at(sums, cell, gain)
-    hit = np.flatnonzero(sums >= reach * m * (m + 1) / 2)
-    x, y = hit // n, hit % n
-    if i != j:
-        apart = block[x] != block[y]
-        x, y = x[apart], y[apart]
-    return x, y
+    sums = sums.reshape(n, n)
+    return sums + sums.T
+
+
+def _reranked(near: np.ndarray, c: np.ndarray, error: np.ndarray, keep: int, ranked: int, least: float) -> np.ndarray:
+    """Which columns each row keeps: of the `ranked` nearest by footrule, with ties of the last, those whose cosine can be
+    among the `keep` greatest and can be >= `least`. c: cosines, each in error by at most `error` of its row and column."""
+    if near.shape[1] > ranked:
+        edge = np.partition(near, near.shape[1] - ranked, axis=1)[:, near.shape[1] - ranked]
+        among = near >= np.maximum(edge, 1)[:, None]
+    else:
+        among = near > 0
+    high = np.where(among, c + error, -2)
+    kept = among & (high >= least)
+    if near.shape[1] > keep:
+        low = np.where(among, c - error, -2)
+        bound = np.partition(low, low.shape[1] - keep, axis=1)[:, low.shape[1] - keep]
+        kept &= high >= bound[:, None]
+    return kept
 
 
 def near_pairs(
-    df: DataFrame, id_: str, vector: str, dim: int = 64, k: int = 10, least: float = 0.9, reach: float = 0.2,
+    df: DataFrame, id_: str, vector: str, dim: int = 64, k: int = 10, least: float = 0.9, ranked: int = RANKED,
     length: int = LENGTH, posted: int = POSTED, block: int = BLOCK, most_pivots: int = MOST_PIVOTS,
     crowd_block: int = CROWD_BLOCK,
 ) -> DataFrame:
@@ -272,9 +295,13 @@ def near_pairs(
     the first k can be neighbours of other vectors. Copies are folded into one before they are posted, so that a vector
     that a third of all rows share costs as much as one row. Ids are distinct non-null integers; repeated rows with one
     id and vector count once. Inverted files of more than `block` vectors are cut into blocks that meet in pairs, in
-    tasks of their own: no pair is lost. Members of crowds (`crowd_heads`) are compared with all vectors that can be similar to
-    them, at the cost of the square of the size of a crowd. At most `most_pivots` * `dim` floats are sent to the tasks.
+    tasks of their own. In each of them a vector goes on with those that can be among its `k` best of the `ranked` nearest
+    by footrule, so that candidates grow with the rows and not with their pairs. Members of crowds (`crowd_heads`) are
+    compared with all vectors that can be similar to them, at the cost of the square of the size of a crowd. At most
+    `most_pivots` * `dim` floats are sent to the tasks.
     """
+    if ranked < k + 1 or posted < 1 or length < 1:
+        raise ValueError("ranked must be over k, posted and length at least 1")
     good = df.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull())
     good = good.where(usable(F.col("v"), dim))
     pivots = choose_pivots(good, "id", "v", dim, df.count(), most_pivots)
@@ -283,98 +310,109 @@ def near_pairs(
         return spark.createDataFrame([], "id_a long, id_b long, cosine double")
     posted = min(posted, length, len(pivots))
     heads = crowd_heads(pivots)
-    copies = (
-        _represent(good, "id", "v", dim, pivots, length, heads, least)
-        .groupBy("h1", "h2")
-        .agg(
-            F.min("id").alias("id"), F.max("id").alias("last"), F.count(F.lit(1)).alias("rows"),
-            F.min(F.struct("id", "perm", "q", "home", "crowds", "x")).alias("one"),
-        )
-        .select("h1", "h2", "id", "last", "rows", *[F.col(f"one.{c}").alias(c) for c in ("perm", "q", "home", "crowds", "x")])
-    )
-    index = durable(copies)
+    members = durable(_members(good, k))
+    # a vector that several rows share is represented by its lowest id; the others never leave the JVM
+    hashes = F.xxhash64("v"), F.xxhash64(F.lit(7), "v")
+    shares = members.select("h1", "h2", "rep")
+    if members.count() <= FEW:
+        shares = F.broadcast(shares)
+    single = good.withColumns({"h1": hashes[0], "h2": hashes[1]}).join(shares, ["h1", "h2"], "left")
+    single = single.where(F.col("rep").isNull() | (F.col("rep") == F.col("id")))
+    index = durable(_represent(single, dim, pivots, length, heads, least))
+
+    # the inverted files: vectors stand in the first `posted` of their permutation
+    width = 4 if _number(len(pivots)) == "<u2" else 8
 
-    # the inverted files: vectors stand in the first `posted` of their permutation (unsigned 16 bits, low byte first)
     def number(i: Column) -> Column:
-        low, high = (F.substring(F.hex("perm"), i * 4 + n, F.lit(2)) for n in (1, 3))
-        return F.conv(F.concat(high, low), 16, 10).cast("int")
+        digits = [F.substring(F.hex("perm"), i * width + n, F.lit(2)) for n in range(width - 1, 0, -2)]
+        return F.conv(F.concat(*digits), 16, 10).cast("int")
 
     postings = index.where(F.col("home") == -1).select(
-        "id", "perm", "q", F.explode(F.transform(F.sequence(F.lit(0), F.lit(posted - 1)), number)).alias("pivot")
+        "id", "perm", "q", "scale", F.explode(F.transform(F.sequence(F.lit(0), F.lit(posted - 1)), number)).alias("pivot")
     )
-    # at most `most_pivots` rows, and only those of long files are kept
+    # at most as many rows as there are pivots, and only those of long files are kept
     blocks = postings.groupBy("pivot").count().where(F.col("count") > block)
     blocks = blocks.select("pivot", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     placed = postings.join(F.broadcast(blocks), "pivot", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = placed.select(
-        "id", "perm", "q", "pivot", "own",
+        "id", "perm", "q", "scale", "pivot", "own",
         F.explode(
             F.transform(
                 F.sequence(F.lit(0), F.col("blocks") - 1),
                 lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")),
             )
         ).alias("part"),
-    ).select("id", "perm", "q", "pivot", "own", "part.i", "part.j")
-    slack = least - 0.02  # 8 bits per component change a cosine by a few thousandths
+    ).select("id", "perm", "q", "scale", "pivot", "own", "part.i", "part.j")
+    shared = spark.sparkContext.broadcast(pivots)
+    kind = _number(len(pivots))
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        ids = t["id"].to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        perm, q = _rows(t["perm"].combine_chunks(), "<u2")[order], _rows(t["q"].combine_chunks(), "i1")[order].astype("f4")
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
+        ids, first = np.unique(t["id"].to_numpy(), return_index=True)  # an id that was delivered again counts once
+        perm, q = _rows(t["perm"].combine_chunks(), kind)[first], _rows(t["q"].combine_chunks(), "i1")[first]
+        scale, own = t["scale"].to_numpy()[first], t["own"].to_numpy()[first]
+        x = shared.value[perm[:, 0]] + q * scale[:, None]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        # rounding moves a component by half a unit of the scale at most, and a cosine by a normal sum of these
+        error = (1.5 * scale + 1e-6).astype("f4")
+        near = _footrule(perm)
         i, j = key[1].as_py(), key[2].as_py()
-        x, y = _inside(i, j, t["own"].to_numpy()[order], perm, reach)
-        keep = [np.empty(0, "i8")]
-        for s in range(0, len(x), 100_000):
-            c = np.einsum("ij,ij->i", q[x[s : s + 100_000]], q[y[s : s + 100_000]])
-            keep.append(s + np.flatnonzero(c >= slack))
-        at = np.concatenate(keep)
-        x, y = x[at], y[at]
-        # a pair stands in several files; the one of the lowest shared pivot reports it
-        a, b = perm[x][:, :posted], perm[y][:, :posted]
-        both = (a[:, :, None] == b[:, None, :]).any(axis=2)
-        mine = np.where(both, a, 65535).min(axis=1) == key[0].as_py()
-        return pa.table({"a": ids[x[mine]], "b": ids[y[mine]]})
+        some = [np.empty((2, 0), "i8")]
+        for here, there in {(i, j), (j, i)}:
+            r, c = np.flatnonzero(own == here), np.flatnonzero(own == there)
+            for s in range(0, len(r) if len(c) else 0, 512):
+                p = r[s : s + 512]
+                kept = _reranked(near[np.ix_(p, c)], x[p] @ x[c].T, error[p][:, None] + error[c][None, :], k + 2, ranked, least)
+                a, b = np.nonzero(kept)
+                some.append(np.stack([p[a], c[b]]))
+        a, b = np.concatenate(some, axis=1)
+        # a pair that both rows keep goes on once
+        pair = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
+        return pa.table({"a": ids[pair // max(len(ids), 1)], "b": ids[pair % max(len(ids), 1)]})
 
     pairs = met.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long")
     if len(heads):
         pairs = pairs.unionByName(_crowd_pairs(index, k, least, crowd_block))
-    candidates = durable(pairs)
+    candidates = durable(pairs.distinct())
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     exact = good.join(ends, "id", "left_semi").groupBy("id").agg(F.first("v").alias("v"))
-    unit = exact.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    wide = lambda c: F.transform(c, lambda x: x.cast("double"))
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
-    unit = unit.withColumn("size", size(F.col("v")))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    dot = F.aggregate(F.zip_with(wide("va"), wide("vb"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    unit = exact.select("id", "v", size(wide("v")).alias("size"))
     scored = (
         candidates.join(unit.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("size").alias("sa")), "a")
         .join(unit.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("size").alias("sb")), "b")
         .select("a", "b", (dot / (F.col("sa") * F.col("sb"))).alias("cosine"))
         .where(F.col("cosine") >= least)
     )
-    return _mutual(scored, index, good, k)
+    return _mutual(scored, members.select("rep", "ids").where(F.size("ids") > 1), k)
+
 
+def _members(good: DataFrame, k: int) -> DataFrame:
+    """(h1, h2, rep, ids) of each vector that several rows share: the lowest id, and the lowest k + 1 ids.
 
-def _mutual(scored: DataFrame, index: DataFrame, good: DataFrame, k: int) -> DataFrame:
-    """Mutual k nearest among rows, from the similar pairs (a, b, cosine) of folded vectors."""
-    # rows of folded vectors: the first k + 1 ids, each once however often it was delivered
-    folded = index.where(F.col("rows") > 1).select("h1", "h2", F.col("id").alias("rep"))
-    hashed = good.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
+    Only hashes and ids are shuffled, and tasks drop what is beyond the k + 1 lowest before that.
+    """
     place = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("id"))
-    lowest = hashed.withColumn("place", place).where(F.col("place") <= k + 1)
-    members = durable(lowest.join(folded, ["h1", "h2"]).groupBy("rep").agg(F.sort_array(F.collect_set("id")).alias("ids")))
+    lowest = _hashed(good).withColumn("place", place).where(F.col("place") <= k + 1)
+    each = lowest.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("rows"), F.sort_array(F.collect_set("id")).alias("ids"))
+    return each.where(F.col("rows") > 1).select("h1", "h2", F.col("ids")[0].alias("rep"), "ids")
+
+
+def _mutual(scored: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """Mutual k nearest among rows, from the similar pairs (a, b, cosine) of folded vectors; members: rep, ids of the vectors
+    that several rows have."""
     # more than k + 1 rows count as k + 1, which already leaves no place for others
-    sizes = members.select(F.col("rep").alias("id"), F.size("ids").alias("n"))
-    rows = index.select("id").join(sizes, "id", "left").select("id", F.coalesce("n", F.lit(1)).cast("long").alias("rows"))
+    sizes = members.select(F.col("rep").alias("id"), F.size("ids").cast("long").alias("n"))
     both = scored.select(F.col("a").alias("x"), F.col("b").alias("y"), "cosine").unionByName(
         scored.select(F.col("b").alias("x"), F.col("a").alias("y"), "cosine")
     )
-    sized = both.join(rows.select(F.col("id").alias("y"), F.col("rows").alias("ny")), "y").join(
-        rows.select(F.col("id").alias("x"), F.col("rows").alias("nx")), "x"
-    )
+    one = F.lit(1).cast("long")
+    sized = both.join(sizes.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y", "left").join(
+        sizes.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x", "left"
+    ).withColumns({"ny": F.coalesce("ny", one), "nx": F.coalesce("nx", one)})
     nearer = Window.partitionBy("x").orderBy(F.col("cosine").desc(), "y")
     # every vector is at least one row, so that only the k nearest vectors can hold any of the k nearest rows
     first = sized.withColumn("place", F.row_number().over(nearer)).where(F.col("place") <= k)
@@ -384,6 +422,7 @@ def _mutual(scored: DataFrame, index: DataFrame, good: DataFrame, k: int) -> Dat
     one = allowed.select(F.col("x").alias("a"), F.col("y").alias("b"), "cosine", F.col("n").alias("nb"))
     two = allowed.select(F.col("y").alias("a"), F.col("x").alias("b"), F.col("n").alias("na"))
     mutual = one.where(F.col("a") < F.col("b")).join(two, ["a", "b"])
+
     def own(name: str) -> DataFrame:
         return members.select(F.col("rep").alias(name), F.col("ids").alias(f"ids_{name}"))
 
@@ -400,12 +439,12 @@ def _mutual(scored: DataFrame, index: DataFrame, good: DataFrame, k: int) -> Dat
 
 def nearest(
     df: DataFrame, id_: str, vector: str, queries: DataFrame, dim: int = 64, k: int = 10, budget: float = 0.1, at_least: int = 1000,
-    length: int = LENGTH, most_pivots: int = MOST_PIVOTS, query_block: int = 20_000,
+    length: int = LENGTH, most_pivots: int = MOST_PIVOTS, query_block: int = 20_000, chunk: int = 10_000,
 ) -> DataFrame:
     """(id, neighbour, place, cosine): the `k` most similar other rows of every row of `queries`, which has the same columns.
 
     A query is compared with the permutations of all rows; its own permutation is as long as an eighth of the pivots.
-    In each batch of rows the share `budget` that is nearest by footrule, `at_least` rows or more, is reranked by cosine. Of
+    Of every `chunk` rows the share `budget` that is nearest by footrule, `at_least` rows or more, is reranked by cosine. Of
     equals the lower id counts. Queries go to the tasks in blocks of at most `query_block`, one pass over the rows for
     each block; vectors are never shuffled. Rows and queries without usable vector are left out.
     """
@@ -423,13 +462,13 @@ def nearest(
     for part in range(parts := max(1, ceil(n_queries / query_block))):
         mine = row(queries).where(F.pmod(F.xxhash64("id", F.lit("query")), F.lit(parts)) == part).toArrow()
         qx = _matrix(mine["v"].combine_chunks(), dim) if mine.num_rows else np.zeros((0, dim), "f4")
-        found = _search(good, mine["id"].to_numpy(), qx, pivots, dim, k, budget, at_least, length, longest)
+        found = _search(good, mine["id"].to_numpy(), qx, pivots, dim, k, budget, at_least, length, longest, chunk)
         result = found if result is None else result.unionByName(found)
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "neighbour"))
     return result.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _search(good: DataFrame, qid: np.ndarray, qx: np.ndarray, pivots: np.ndarray, dim: int, k: int, budget: float, at_least: int, length: int, longest: int) -> DataFrame:
+def _search(good: DataFrame, qid: np.ndarray, qx: np.ndarray, pivots: np.ndarray, dim: int, k: int, budget: float, at_least: int, length: int, longest: int, chunk: int) -> DataFrame:
     shared = good.sparkSession.sparkContext.broadcast((qid, qx, pivots))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,10 +476,10 @@ def _search(good: DataFrame, qid: np.ndarray, qx: np.ndarray, pivots: np.ndarray
         top_c = np.full((len(qid), k), -2.0, "f4")
         top_i = np.full((len(qid), k), -1, "i8")
         qperm = _permutations(qx, pivots, longest) if len(qid) else np.zeros((0, 1), "u2")
-        for b in batches:
-            if not b.num_rows or not len(qid):
+        for b in _chunks(batches, chunk):
+            if not len(qid):
                 continue
-            x, ids = _matrix(b.column("v"), dim), b.column("id").to_numpy()
+            x, ids = _matrix(b["v"].combine_chunks(), dim), b["id"].to_numpy()
             perm = _permutations(x, pivots, length)
             n, m = perm.shape
             flat = perm.ravel()
@@ -469,6 +508,20 @@ def _search(good: DataFrame, qid: np.ndarray, qx: np.ndarray, pivots: np.ndarray
     return good.mapInArrow(work, "id long, neighbour long, cosine double")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows in tables of `size`, whatever the batches they come in; the last one has what is left."""
+    held, n = [], 0
+    for b in batches:
+        while n + b.num_rows >= size:
+            yield pa.Table.from_batches([*held, b.slice(0, size - n)])
+            b, held, n = b.slice(size - n), [], 0
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _best(c: np.ndarray, i: np.ndarray, k: int) -> np.ndarray:
     """Places of the k greatest of c, of equals the lower i."""
     edge = np.partition(c, len(c) - k)[len(c) - k]  # at least k: the best so far are among them

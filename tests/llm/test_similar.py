@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lexspark.llm.similar import _inside, near_pairs, nearest
+from lexspark.llm.similar import _chunks, _footrule, _number, _permutations, _reranked, near_pairs, nearest
 
 SCHEMA = "id long, v array<float>, rows int, pivot string, h1 long"
 
@@ -93,13 +93,59 @@ def test_unusable_vectors_and_empty_tables(spark):
 def test_footrule_sums():
     r = np.random.default_rng(2)
     perm = np.stack([r.permutation(20)[:6] for _ in range(50)]).astype("u2")
-    x, y = _inside(0, 0, np.zeros(50, int), perm, 0.3)
-    got = set(zip(x.tolist(), y.tolist()))
+    got = _footrule(perm)
+    assert (got == got.T).all() and (np.diag(got) == 0).all()
     for a in range(50):
         for b in range(a + 1, 50):
             far = sum(abs((list(perm[a]).index(p) if p in perm[a] else 6) - (list(perm[b]).index(p) if p in perm[b] else 6)) for p in set(perm[a]) | set(perm[b]))
-            near = (6 * 7 - far) / 2
-            assert ((a, b) in got) == (near >= 0.3 * 21)
+            assert got[a, b] == (6 * 7 - far) / 2
+
+
+def test_candidates_are_the_nearest_by_footrule_and_bounded():
+    r = np.random.default_rng(8)
+    near, c = r.integers(0, 30, (200, 300)), r.uniform(0.8, 1, (200, 300))
+    error = np.zeros_like(c)
+    kept = _reranked(near, c, error, 12, 100, 0.9)
+    edge = -np.sort(-near, axis=1)[:, 99:100]
+    assert (kept.sum(axis=1) <= 12).all() and (near[kept] >= np.broadcast_to(edge, near.shape)[kept]).all()
+    among = np.where(near >= edge, c, 0)
+    assert (kept == ((among >= -np.sort(-among, axis=1)[:, 11:12]) & (among >= 0.9))).all()
+
+
+def test_many_pivots_have_wide_numbers():
+    pivots = np.zeros((70_000, 2), "f4")
+    pivots[:, 0] = 1
+    angle = np.linspace(0, 1, 70_000)
+    pivots = np.stack([np.cos(angle), np.sin(angle)], axis=1).astype("f4")
+    assert _number(len(pivots)) == "<u4" and _permutations(pivots[-1:], pivots, 1)[0, 0] >= 69_900
+
+
+def test_chunks_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    rows = pa.table({"v": list(range(25))})
+    for size in (1, 4, 25):
+        got = [t["v"].to_pylist() for t in _chunks(iter(rows.to_batches(size)), 10)]
+        assert got == [list(range(10)), list(range(10, 20)), list(range(20, 25))]
+
+
+@pytest.mark.parametrize(("n", "noise"), [(1000, 0.02), (1000, 0.1), (2000, 0.2), (4000, 0.05)])
+def test_clusters_of_near_copies(spark, n, noise):
+    r = np.random.default_rng(n)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = r.permutation(np.concatenate([unit(r.normal(size=64)) + noise / 8 * r.normal(size=(n, 64)), unit(r.normal(size=(2000, 64)))])).astype("f4")
+    want, _ = brute(x)
+    got = {tuple(p) for p in near_pairs(frame(spark, x), "id", "v").select("id_a", "id_b").collect()}
+    assert len(want & got) / len(want) >= 0.95 and len(want & got) / len(got) >= 0.95
+
+
+@pytest.mark.parametrize("n", [30, 100, 300])
+def test_small_clusters_of_near_copies_without_a_crowd(spark, n):
+    r = np.random.default_rng(n)
+    x = np.concatenate([r.normal(size=(1, 64)) + 0.05 * r.normal(size=(n, 64)), r.normal(size=(40 * n, 64))]).astype("f4")
+    want, _ = brute(x)
+    got = {tuple(p) for p in near_pairs(frame(spark, x), "id", "v").select("id_a", "id_b").collect()}
+    assert len(want & got) / len(want) >= 0.95 and len(want & got) / len(got) >= 0.95
 
 
 @pytest.mark.parametrize("block", [20_000, 7])
