@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.words import word_hashes
@@ -70,6 +70,15 @@ class NGrams:
         return -np.log2(p)
 
 
+    def least_surprised(self, flat: np.ndarray, row: np.ndarray, level: np.ndarray, weights: tuple[float, ...]) -> float:
+        """Takes and returns the weight of longer n-grams with which the words of texts of known levels have the fewest bits."""
+        bits = []
+        for self.weight in weights:
+            bits.append(self.surprisal(flat, row)[np.arange(len(flat)), level].mean())
+        self.weight = weights[int(np.argmin(bits))]
+        return self.weight
+
+
 def difficulty(model: NGrams, flat: np.ndarray, row: np.ndarray, rows: int, reach: int = 8) -> np.ndarray:
     """The mean level over the words of each row, from 0; NaN for rows without words.
 
@@ -118,8 +127,11 @@ class ReadingModel:
         return np.asarray(self.levels)[np.clip(np.floor(step + 0.5).astype(int), 0, len(self.levels) - 1)]
 
 
-def rated_sample(labels: DataFrame, docs: DataFrame, key: str, text: str, levels: tuple[int, ...], sample: int, most_words: int) -> DataFrame:
-    """(y, w): level and word hashes of at most `sample` rated documents, chosen by hash.
+def rated_sample(
+    labels: DataFrame, docs: DataFrame, key: str, text: str, levels: tuple[int, ...], sample: int, most_words: int, all_words: int
+) -> DataFrame:
+    """(y, w, k): level and word hashes of at most `sample` rated documents, chosen by hash, of at most `most_words` words each
+    and of `all_words` together.
 
     Repeated ratings count once, null ones and levels outside `levels` not at all; raters that disagree are settled by
     their median, and a document without a median level is left out.
@@ -137,37 +149,49 @@ def rated_sample(labels: DataFrame, docs: DataFrame, key: str, text: str, levels
     # at most `sample` rows of a key and a number; words are made of the chosen texts alone, which the join leaves
     chosen = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(agreed), key)
     short = F.length(text) <= 20 * most_words
-    return chosen.where(short).select(F.col("y").cast("int").alias("y"), word_hashes(F.col(text)).alias("w"), F.col(key).alias("k"))
+    made = chosen.where(short).select(F.col("y").cast("int").alias("y"), word_hashes(F.col(text)).alias("w"), F.col(key).alias("k"))
+    # a document that was delivered again counts once; one task sees the sample, which is bounded
+    one = made.where((F.size("w") > 0) & (F.size("w") <= most_words)).groupBy("k").agg(F.max(F.struct("w", "y")).alias("one"))
+    so_far = F.sum(F.size("one.w")).over(Window.orderBy(F.xxhash64("k"), "k"))
+    return one.withColumn("so_far", so_far).where(F.col("so_far") <= all_words).select("one.y", "one.w", "k")
 
 
 def fit_reading_model(
     labels: DataFrame, docs: DataFrame, key: str, text: str, levels: tuple[int, ...] = (1, 2, 3), sample: int = 3000,
-    most_words: int = 5000, order: int = 2, folds: int = 4,
+    most_words: int = 5000, order: int = 2, folds: int = 4, all_words: int = 2_000_000, weights: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8),
 ) -> ReadingModel | None:
-    """Fitted on at most `sample` rated documents of at most `most_words` words each; these bound the driver's memory and
-    the model's size, nothing else. None without any rated document."""
-    rows = rated_sample(labels, docs, key, text, levels, sample, most_words).collect()
-    rows = [r for r in rows if 0 < len(r["w"]) <= most_words]
-    rows = list({r["k"]: r for r in sorted(rows, key=lambda r: (r["k"], r["w"]))}.values())
-    if not rows:
+    """Fitted on at most `sample` rated documents of at most `most_words` words each and of `all_words` together; these bound
+    the driver's memory and the model's size, nothing else. None without any rated document.
+
+    The model has 20 bytes for each different n-gram of the sample. Of `weights` the one counts with which models without a
+    quarter of the documents are least surprised by it.
+    """
+    t = rated_sample(labels, docs, key, text, levels, sample, most_words, all_words).toArrow().combine_chunks()
+    if not t.num_rows:
         return None
-    words = [np.array(r["w"], "i8").view("u8") for r in rows]
-    y = np.searchsorted(levels, [r["y"] for r in rows])
-    fold = np.arange(len(rows)) % folds
+    order_of = np.argsort(t["k"].to_numpy(zero_copy_only=False), kind="stable")
+    y = np.searchsorted(levels, t["y"].to_numpy()[order_of])
+    w = t["w"].combine_chunks()
+    ends, every = w.offsets.to_numpy().astype("i8"), w.values.to_numpy().view("u8")
+    begin, length = ends[:-1][order_of], np.diff(ends)[order_of]
+    fold = np.arange(len(y)) % folds
 
     def flat(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = [len(words[i]) for i in chosen]
-        return np.concatenate([words[i] for i in chosen]), np.repeat(np.arange(len(chosen)), size), np.repeat(y[chosen], size)
+        size = length[chosen]
+        at = np.repeat(begin[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return every[at], np.repeat(np.arange(len(chosen)), size), np.repeat(y[chosen], size)
 
-    score = np.full(len(rows), np.nan)
+    score, weight = np.full(len(y), np.nan), 0.6
     for f in range(folds):
         rest, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
         if len(rest) and len(own):
-            w, r, _ = flat(own)
-            score[own] = difficulty(NGrams(*flat(rest), len(levels), order), w, r, len(own))
+            part, (words, r, level) = NGrams(*flat(rest), len(levels), order, weight), flat(own)
+            if f == 0:
+                weight = part.least_surprised(words, r, level, weights)
+            score[own] = difficulty(part, words, r, len(own))
     known = ~np.isnan(score)
     at, to = isotonic(score[known], y[known]) if known.any() else (np.array([0.0]), np.array([y.mean()]))
-    return ReadingModel(levels, NGrams(*flat(np.arange(len(rows))), len(levels), order), at, to)
+    return ReadingModel(levels, NGrams(*flat(np.arange(len(y))), len(levels), order, weight), at, to)
 
 
 def reading_levels(docs: DataFrame, key: str, text: str, model: ReadingModel | None, keep: tuple[str, ...] = (), least_words: int = 50) -> DataFrame:
