@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lexspark.functions.notation import stripped
 from lexspark.llm.conversations import judge_conversations, rebuild_conversations
 from lexspark.llm.leakage import find_leaks
-from lexspark.llm.packing import pack
+from lexspark.llm.packing import divided, pack
 from lexspark.llm.pieces import split_oversized
 from lexspark.llm.reading import fit_reading_model, reading_levels
 from lexspark.llm.similar import near_pairs, nearest
+from lexspark.session import durable
 from lexspark.sources.tables import table
 
 
@@ -43,6 +44,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pieces(spark, d).where(F.col("piece_no") == 1).select("id", "unbroken")
 
 
+def p3_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The texts put together again from what is new in each piece, by length and digest, and pieces that are too large."""
+    new = F.expr("substring(content, fresh_at + 1)")
+    parts = F.sort_array(F.collect_list(F.struct("piece_no", new.alias("t"))))
+    text = F.array_join(F.transform(parts, lambda p: p["t"]), "")
+    return p3_pieces(spark, d).groupBy("id").agg(
+        F.length(text).cast("long").alias("chars"), F.md5(text).alias("digest"), F.count_if(F.col("tokens") > 256).alias("too_large"),
+        F.count_if((F.col("piece_no") > 1) & (F.col("overlap") != 32)).alias("not_overlapping"),
+    )
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return judge_conversations(table(spark, d, "messages")).where(~F.col("whole")).select("conversation_id")
 
@@ -58,7 +70,21 @@ def p6_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_containers(spark, d).where((F.col("pieces") > 1) & (F.col("piece_no") == 1)).select("doc_id")
+    """Documents whose pieces lie in several containers."""
+    return divided(p6_containers(spark, d), "doc_id").select("doc_id")
+
+
+def p6_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers hold: documents, pieces, tokens, containers over 4,096 tokens, documents that are not held whole."""
+    packed = durable(p6_containers(spark, d))
+    size = table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n")).where(F.col("n") > 0)
+    held = packed.groupBy("doc_id").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("found"), F.max("pieces").alias("pieces"))
+    whole = size.join(held, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("found").alias("pieces"), F.sum("held").alias("tokens"),
+        F.count_if(~F.coalesce((F.col("held") == F.col("n")) & (F.col("found") == F.col("pieces")), F.lit(False))).alias("broken"),
+    )
+    full = packed.groupBy("container_id").agg(F.sum("size").alias("n")).agg(F.count_if(F.col("n") > 4096).alias("overfull"))
+    return whole.crossJoin(full)  # one row beside one row
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +136,8 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_pairs": p2_pairs, "p2_nearest": p2_nearest,
-    "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_turns": p4_turns,
-    "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill,
+    "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rejoined": p3_rejoined, "p4_found": p4_found, "p4_turns": p4_turns,
+    "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p6_audit": p6_audit,
     "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_items": p7_items,
     "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile,
 }
@@ -146,6 +172,10 @@ SELECT a.x AS id_a, a.y AS id_b FROM n a JOIN n b ON a.x = b.y AND a.y = b.x WHE
 SQL = {
     "p2_found": _PAIRS,
     "p6_found": "SELECT doc_id FROM documents WHERE strlen(text) > 4096",
+    "p6_audit": """SELECT count(*) AS documents, sum(ceil(strlen(text) / 4096))::BIGINT AS pieces, sum(strlen(text))::BIGINT AS tokens, 0::BIGINT AS broken,
+  0::BIGINT AS overfull FROM documents WHERE strlen(text) > 0""",
+    "p3_rejoined": r"""SELECT id, length(content) AS chars, md5(content) AS digest, 0::BIGINT AS too_large, 0::BIGINT AS not_overlapping
+FROM norms WHERE len(regexp_extract_all(content, '\S+')) > 256""",
     "p3_found": r"""
 SELECT id, CASE WHEN list_max(list_transform(regexp_split_to_array(content, '[\n\r.;:!?]'),
     lambda x: len(regexp_extract_all(x, '\S+')))) > 256 THEN 1 ELSE 0 END::BIGINT AS unbroken
