@@ -7,19 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from lexspark.operators.store import commit, unique, upsert
+from lexspark.operators.store import commit, current, unique, upsert
 
 
 def merging(path: str, keys: list[str], order: list[Column]) -> Callable[[DataFrame, int], None]:
-    """A `foreachBatch` function that upserts each batch into the Parquet table at `path`; of a key's rows in a batch the
+    """A `foreachBatch` function that upserts each batch into the stored table at `path`; of a key's rows in a batch the
     first by `order` counts. A batch that is repeated after a failure changes nothing."""
 
     def work(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+        old = current(batch.sparkSession, path)
         fresh = unique(batch, keys, order)
-        path_ = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        there = path_.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path_)
-        commit(upsert(spark.read.parquet(path), fresh, keys) if there else fresh, path)
+        commit(fresh if old is None else upsert(old, fresh, keys), path)
 
     return work
 

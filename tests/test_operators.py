@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexspark.operators import classify, corpus, evaluate, quality, retrieval, store
+from lexspark.streaming.merge import merging
 
 
 def rows(df, *cols):
@@ -156,12 +157,60 @@ def test_cascade_nested_owned_and_pages(spark):
     assert store.page(parents, [F.col("id")], 0, 0).count() == 1
 
 
-def test_commit_swaps(spark, tmp_path):
+def test_commit_keeps_a_complete_version(spark, tmp_path):
     path = str(tmp_path / "t")
-    store.commit(spark.range(3), path)
-    store.commit(spark.read.parquet(path).where("id > 0"), path)
-    assert rows(spark.read.parquet(path)) == [(1,), (2,)]
-    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+    assert store.current(spark, path) is None
+    assert store.commit(spark.range(3), path) == 3
+    assert store.commit(store.current(spark, path).where("id > 0"), path) == 2
+    # a writer that broke off before its mark
+    spark.range(9).write.parquet(f"{path}/v3")
+    assert rows(store.current(spark, path)) == [(1,), (2,)]
+    reader = store.current(spark, path)
+    assert store.commit(store.current(spark, path).where("id > 1"), path) == 1
+    assert rows(store.current(spark, path)) == [(2,)] and rows(reader) == [(1,), (2,)]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v2", "v4"]
+    assert store.commit(spark.range(0), path) == 0 and store.current(spark, path).count() == 0
+    twice = spark.createDataFrame([(None, 1), (None, 2)], "k string, v int")
+    with pytest.raises(ValueError):
+        store.commit(twice, path, ["k"])
+    assert store.deleted(spark.range(5), path, F.col("id") < 2) == 2 and rows(store.current(spark, path)) == [(2,), (3,), (4,)]
+
+
+def test_merging_goes_on_after_a_crash(spark, tmp_path):
+    path = str(tmp_path / "t")
+    work = merging(path, ["id"], [F.col("v")])
+    work(spark.range(100).withColumn("v", F.lit(1)), 0)
+    spark.range(3).withColumn("v", F.lit(9)).write.parquet(f"{path}/v2")  # the batch broke off while it was writing
+    for _ in range(2):
+        work(spark.range(99, 101).withColumn("v", F.lit(2)), 1)
+        assert store.current(spark, path).groupBy("v").count().orderBy("v").collect() == [(1, 99), (2, 2)]
+
+
+def test_points_go_on_where_they_were(spark, tmp_path):
+    path = str(tmp_path / "p")
+    df = spark.range(50).withColumn("v", F.col("id") * 2)
+    first = store.write_points(df.where("id < 30").union(df.where("id < 3")), path, "id", 4)
+    assert first == [0, 1, 2, 3] and store.points(spark, path, 4).count() == 30
+    assert store.write_points(df.where("id < 30"), path, "id", 4) == []
+    store.write_points(df, path, "id", 4)
+    assert rows(store.points(spark, path, 4)) == rows(df)
+
+
+def test_rows_of_state(spark):
+    parents = spark.createDataFrame([(1,), (2,)], "id int")
+    kids = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "p int, c string, n long")
+    fresh = spark.createDataFrame([(1, "d"), (1, "c"), (2, "x"), (3, "y"), (None, "z")], "p int, c string")
+    got = store.append_children(kids, fresh, parents, "p", "id", [F.col("c")], "n")
+    assert rows(got, "p", "c", "n") == [(1, "a", 1), (1, "b", 2), (1, "c", 3), (1, "d", 4), (2, "x", 1)]
+    assert store.only(parents.where("id = 1"))["id"] == 1 and store.only(parents.where("id = 9")) is None
+    with pytest.raises(ValueError):
+        store.only(parents)
+    assert tuple(store.page_count(spark.range(101), 50).first()) == (101, 3) and tuple(store.page_count(spark.range(0)).first()) == (0, 0)
+    assert store.visible(parents, "denied").count() == 0 and store.visible(parents, "public").count() == 2
+    cache = spark.createDataFrame([("a", "d1", 1), ("b", "d2", 2)], "k string, h string, v int")
+    asked = spark.createDataFrame([("a", "d1"), ("b", "old"), ("c", "d"), (None, "d1"), ("a", None)], "k string, h string")
+    got = store.validated_cache(asked, cache, ["k"], "h", "v")
+    assert {(r["k"], r["h"], r["state"], r["v"]) for r in got.collect()} == {("a", "d1", "hit", 1), ("b", "old", "stale", None), ("c", "d", "miss", None), (None, "d1", "miss", None), ("a", None, "stale", None)}
 
 
 def test_quality(spark):
