@@ -1,104 +1,147 @@
 """References to records that do not exist, as keyed state that is carried from batch to batch.
 
-Two tables are the state. The parent index has one row per (target, key): when the parent first arrived, when it was
-deleted. The reference state has one row per reference with the intervals it has been an orphan. A batch brings new
-references, which probe the index, and parent events: an arrival resolves the references that wait for it, a deletion
-opens them again, and an earlier arrival than known may end that a reference was late. Only open references, those delivered
-again and those of keys that the batch deletes or moves to an earlier arrival are probed anew.
+The state is two logs. The parent log has a row for each key that a batch brought events of: first and last arrival,
+deletion; its rows are merged by least and greatest values, so that they need no order. The reference log has a row for
+each reference that a batch brought or changed, and the last one of a reference is its state. A batch brings new
+references, which probe the parents, and parent events: an arrival resolves the references that wait for it, also a second
+arrival after a deletion, a deletion opens them again, and an earlier arrival than known may end that a reference was
+late.
+
+A batch looks at the log by the keys and references that it brings, in one pass over these columns, and shuffles and writes
+only what it brings and what that changes. How many references are open is summed up from the changes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions.notation import month_of_micros
-from lexspark.operators.skew import skew_left_join
+from lexspark.operators.skew import salted_left_join
 
 REFERENCE = ("src_table", "src_id", "ref_field", "target", "key")
-PARENTS = "target string, key string, first_at long, deleted_at long"
-REFERENCES = (
-    "src_table string, src_id string, ref_field string, target string, key string, ref_at long, "
-    "was_missing boolean, was_late boolean, was_deleted boolean, open boolean, resolved_at long"
-)
+PARENTS = "target string, key string, first_at long, last_at long, deleted_at long"
+STATE = "src_table string, src_id string, ref_field string, target string, key string, ref_at long, was_late boolean, was_deleted boolean, open boolean, resolved_at long"
+REFERENCES = f"{STATE}, was_open boolean, batch int"
+_EVER = -(2**62)  # before everything
 
 
 def empty_state(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    """(parent index, reference state) before the first batch."""
+    """(parent log, reference log) before the first batch."""
     # the limit tells the optimizer, which then plans no join with it
     return spark.createDataFrame([], PARENTS).limit(0), spark.createDataFrame([], REFERENCES).limit(0)
 
 
-def merge_parents(index: DataFrame, events: DataFrame) -> DataFrame:
-    """The index after `events` (target, key, first_at, deleted_at): earliest arrival, latest deletion.
+def parent_events(events: DataFrame) -> DataFrame:
+    """Rows of the parent log from events (target, key, first_at, deleted_at), each key once.
 
-    An arrival time that is null counts as before everything, so that a parent of unknown age makes nothing late.
+    An arrival time that is null counts as before everything, so that a parent of unknown age makes nothing late. A row
+    with a deletion says that its arrival was deleted, whatever the order of the two times.
     """
-    early = F.coalesce("first_at", F.lit(-(2**62)))
-    both = index.unionByName(events.select("target", "key", "first_at", "deleted_at"))
-    return (
-        both.where(F.col("key").isNotNull())
-        .groupBy("target", "key")
-        .agg(F.min(early).alias("first_at"), F.max("deleted_at").alias("deleted_at"))
-    )
+    at = F.coalesce("first_at", F.lit(_EVER))
+    gone = F.when(F.col("deleted_at").isNotNull(), F.greatest(at, "deleted_at"))
+    each = events.where(F.col("key").isNotNull()).select("target", "key", at.alias("first_at"), at.alias("last_at"), gone.alias("deleted_at"))
+    return merged_parents(each)
+
+
+def merged_parents(log: DataFrame) -> DataFrame:
+    """The parents as they are: first and last arrival, last deletion."""
+    return log.groupBy("target", "key").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("deleted_at").alias("deleted_at"))
+
 
+def _latest(log: DataFrame) -> DataFrame:
+    """The last row of each reference."""
+    rest = [c for c in log.columns if c not in REFERENCE]
+    top = log.groupBy(*REFERENCE).agg(F.max_by(F.struct(*rest), "batch").alias("_top"))
+    return top.select(*REFERENCE, "_top.*")
 
-def advance(
-    index: DataFrame, state: DataFrame, references: DataFrame, events: DataFrame, salts: int = 16
-) -> tuple[DataFrame, DataFrame]:
-    """The next (parent index, reference state); write both between batches (a table, or session.durable).
+
+def current_references(log: DataFrame) -> DataFrame:
+    """The state of every reference: the last row that the log has of it."""
+    return _latest(log).drop("was_open", "batch")
+
+
+def changes(parents: DataFrame, log: DataFrame, references: DataFrame, events: DataFrame, batch: int, salts: int = 8) -> tuple[DataFrame, DataFrame]:
+    """What a batch appends to the (parent log, reference log).
 
     references: src_table, src_id, ref_field, target, key, ref_at (microseconds or null). Those with a null key are no
     references. Rows that are delivered again (same table, id, field and key), in one batch or in later ones, count once, the
-    earliest `ref_at` holds. Extra columns are ignored.
+    earliest `ref_at` holds. Extra columns are ignored. `batch` is greater than those before.
     """
-    parents = merge_parents(index, events)
-    fresh = (
-        references.where(F.col("key").isNotNull())
-        .select(*REFERENCE, "ref_at")
-        .withColumns({c: F.lit(False) for c in ("was_missing", "was_deleted")})
-    )
-    deleted = events.where(F.col("deleted_at").isNotNull()).select("target", "key")
-    early = events.groupBy("target", "key").agg(F.min(F.coalesce("first_at", F.lit(-(2**62)))).alias("early"))
-    moved = early.join(index, ["target", "key"]).where(F.col("early") < F.col("first_at")).select("target", "key")
-    touched = deleted.unionByName(moved).distinct()
-    closed = state.where(~F.col("open"))
+    brought = parent_events(events)
+    fresh = references.where(F.col("key").isNotNull()).select(*REFERENCE, "ref_at")
+    # references of keys with events, and those delivered again
+    of_keys = log.join(brought.select("target", "key"), ["target", "key"], "left_semi")
     again = fresh.select(*[F.col(c).alias(f"_{c}") for c in REFERENCE]).distinct()
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in REFERENCE]
-    still = closed.join(touched, ["target", "key"], "left_anti")
-    untouched = still.join(again, same, "left_anti")
-    reopened = closed.join(touched, ["target", "key"], "left_semi").unionByName(still.join(again, same, "left_semi"))
-    # one row per reference, of the state and of this batch
-    probing = (
-        state.where("open").unionByName(reopened).select(*fresh.columns).unionByName(fresh)
-        .groupBy(*REFERENCE)
-        .agg(F.min("ref_at").alias("ref_at"), *[F.max(c).alias(c) for c in ("was_missing", "was_deleted")])
-    )
+    delivered = log.join(again, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in REFERENCE], "left_semi")
+    seen = of_keys.unionByName(delivered).select(*REFERENCE, "ref_at", "open", "batch")
+    new = fresh.withColumns({"open": F.lit(False), "batch": F.lit(-1)})
+    probing = seen.unionByName(new).groupBy(*REFERENCE).agg(F.min("ref_at").alias("ref_at"), F.max_by("open", "batch").alias("was_open"))
     probing = probing.withColumn("probe", F.concat_ws("\x01", "target", "key"))
-    looked = skew_left_join(
-        probing,
-        parents.select(F.concat_ws("\x01", "target", "key").alias("probe"), "first_at", "deleted_at"),
-        "probe",
-        "src_id",
-        salts,
+    # the parents of these references alone
+    asked = probing.select("target", "key").distinct()
+    found = merged_parents(parents.join(asked, ["target", "key"], "left_semi").unionByName(brought))
+    looked = salted_left_join(
+        probing, found.select(F.concat_ws("\x01", "target", "key").alias("probe"), "first_at", "last_at", "deleted_at"), "probe", "src_id", salts
     )
-    missing, gone = F.col("first_at").isNull(), F.col("deleted_at").isNotNull()
-    probed = looked.select(
-        "src_table", "src_id", "ref_field", "target", "key", "ref_at",
-        (F.col("was_missing") | missing).alias("was_missing"),
+    missing = F.col("first_at").isNull()
+    gone = F.col("deleted_at").isNotNull() & ~(F.col("last_at") > F.col("deleted_at"))
+    back = F.when(F.col("deleted_at").isNotNull(), F.col("last_at")).otherwise(F.col("first_at"))
+    changed = looked.select(
+        *REFERENCE, "ref_at",
         F.coalesce(F.col("first_at") > F.col("ref_at"), F.lit(False)).alias("was_late"),
-        (F.col("was_deleted") | gone).alias("was_deleted"),
+        F.col("deleted_at").isNotNull().alias("was_deleted"),
         (missing | gone).alias("open"),
-        F.when(~missing & ~gone, F.col("first_at")).alias("resolved_at"),
+        F.when(~missing & ~gone, back).alias("resolved_at"),
+        "was_open", F.lit(batch).alias("batch"),
     )
-    return parents, untouched.select(*probed.columns).unionByName(probed)
+    return brought, changed
+
+
+def replay(references: DataFrame, events: DataFrame, period: Column, event_period: Column, path: str) -> DataFrame:
+    """The reference log after all batches, one for each value of `period` that references have, in order; each batch is
+    written to `path` before the next one reads it.
+
+    Periods are numbers. An event comes with the batch of its own period, or the next one that there is; those after the last
+    batch come as a batch of their own. References and events whose period is null come with the first batch. The history is
+    read once and parted by period first.
+    """
+    spark = references.sparkSession
+    sides = {"references": references.withColumn("_p", period.cast("long")), "events": events.withColumn("_p", event_period.cast("long"))}
+    for name, rows in sides.items():
+        rows.hint("rebalance", "_p").write.partitionBy("_p").parquet(f"{path}/{name}")
+    parts = {name: spark.read.schema(rows.schema).parquet(f"{path}/{name}") for name, rows in sides.items()}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folders = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop(f"{path}/references"))
+    values = [f.getPath().getName().removeprefix("_p=") for f in folders if f.getPath().getName().startswith("_p=")]
+    edges = sorted(int(v) for v in values if v.lstrip("-").isdigit())
+
+    def part(name: str, b: int) -> DataFrame:
+        p = F.col("_p")
+        here = F.lit(True) if b == 0 else p > edges[b - 1]
+        if b < len(edges):
+            here = here & (p <= edges[b])
+        return parts[name].where(p.isNull() | here if b == 0 else here).drop("_p")
+
+    parents, log = empty_state(spark)
+    for b in range(len(edges) + 1):
+        brought, changed = changes(parents, log, part("references", b), part("events", b), b)
+        brought.write.parquet(f"{path}/parents/{b}")
+        changed.write.parquet(f"{path}/log/{b}")
+        parents = spark.read.schema(PARENTS).parquet(*[f"{path}/parents/{i}" for i in range(b + 1)])
+        log = spark.read.schema(REFERENCES).parquet(*[f"{path}/log/{i}" for i in range(b + 1)])
+    return log
+
+
+def advance(parents: DataFrame, log: DataFrame, references: DataFrame, events: DataFrame, batch: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The (parent log, reference log) after a batch; write both between batches (tables, or session.durable)."""
+    brought, changed = changes(parents, log, references, events, batch)
+    return parents.unionByName(brought), log.unionByName(changed)
 
 
 def orphan_cases(state: DataFrame) -> DataFrame:
     """References whose target is missing, deleted, or first arrived after them."""
-    late = F.col("was_late")
-    still_missing = F.col("open") & ~F.col("was_deleted")
-    return state.where(late | still_missing | F.col("was_deleted"))
+    return state.where(F.col("was_late") | F.col("open"))
 
 
 def orphan_counts(state: DataFrame) -> DataFrame:
@@ -111,3 +154,14 @@ def orphan_counts(state: DataFrame) -> DataFrame:
             F.sum(F.col("open").cast("long")).alias("still_open"),
         )
     )
+
+
+def open_by_batch(log: DataFrame) -> DataFrame:
+    """(batch, src_table, ref_field, opened, closed, open): how many references each batch has opened and closed, and how many
+    are open after it, summed up from the changes; only batches with changes have rows."""
+    now, before = F.col("open").cast("long"), F.col("was_open").cast("long")
+    each = log.groupBy("batch", "src_table", "ref_field").agg(
+        F.sum(F.greatest(now - before, F.lit(0))).alias("opened"), F.sum(F.greatest(before - now, F.lit(0))).alias("closed")
+    )
+    so_far = Window.partitionBy("src_table", "ref_field").orderBy("batch")
+    return each.withColumn("open", F.sum(F.col("opened") - F.col("closed")).over(so_far))

@@ -28,3 +28,11 @@ def skew_left_join(left: DataFrame, right: DataFrame, key: str, spread: str, sal
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     repeated = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return salted.drop("_hot").join(repeated, [key, "_salt"], "left").drop("_salt")
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, spread: str, salts: int = 16) -> DataFrame:
+    """As `skew_left_join`, for a right side that is small beside the left one: it is repeated `salts` times as a whole, so that
+    nothing has to be counted first."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
+    repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.withColumn("_salt", salt).join(repeated, [key, "_salt"], "left").drop("_salt")
