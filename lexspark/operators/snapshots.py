@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.operators.store import commit, current
+
 BUCKETS = 256
 
 
@@ -39,6 +41,19 @@ def assign_ordinals(keys: DataFrame, key: str, registry: DataFrame | None = None
     return both.withColumn("ordinal", ordinal).drop("_known", "_seen")
 
 
+def extend_registry(keys: DataFrame, key: str, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The stored registry at `path` after new keys of a delivery were added, as its next version; made where there is none.
+
+    Keys keep bucket and ordinal for ever. Repeated keys count once, null ones not at all.
+    """
+    spark, found = keys.sparkSession, keys.select(key).where(F.col(key).isNotNull()).distinct()
+    known = current(spark, path)
+    if known is not None:
+        found = found.join(known.select(key), key, "left_anti").unionByName(known.select(key))
+    commit(assign_ordinals(found, key, known, buckets).select(key, "bucket", "ordinal"), path)
+    return current(spark, path)
+
+
 def latest_rows(df: DataFrame, seq: str, key: str, values: list[str], order: str) -> DataFrame:
     """One row per (seq, key): the one with the greatest `order`, nulls last; of equals the one with greater values.
 

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lexspark.functions.notation import (
     checksum_value, date_value, instant_micros, ntz_micros, stripped, uuid_key,
 )
-from lexspark.operators.orphans import advance, empty_state, orphan_cases, orphan_counts
-from lexspark.operators.snapshots import snapshot_changes
+from lexspark.operators.orphans import current_references, open_by_batch, orphan_cases, orphan_counts, replay
+from lexspark.operators.snapshots import extend_registry, snapshot_changes
+from lexspark.session import workspace
 from lexspark.sources.tables import table
 
 #: The number of the current list as one more delivery.
@@ -35,7 +36,13 @@ def _deliveries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot_changes(_deliveries(spark, d), "snap_no", "law_key", ["checksum", "last_changed"], "seen_at")
+    """Changes from each delivery to the next. The registry of ordinals is a stored table: the full deliveries make it, and the
+    current list, which comes later, finds its keys there and adds new ones."""
+    all_of = _deliveries(spark, d)
+    path = workspace(spark, "law-ordinals")
+    for part in (F.col("snap_no") != CURRENT, F.col("snap_no") == CURRENT):
+        registry = extend_registry(all_of.where(part).select("law_key"), "law_key", path)
+    return snapshot_changes(all_of, "snap_no", "law_key", ["checksum", "last_changed"], "seen_at", registry)
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -76,9 +83,23 @@ def _parent_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _quarter(at: str):
+    """The quarter of a time in microseconds as a number."""
+    day = F.timestamp_micros(F.col(at))
+    return F.year(day) * 4 + F.quarter(day) - 1
+
+
+def _orphan_log(spark: SparkSession, d: str) -> DataFrame:
+    """The history in batches by quarter of the referring rows, with the logs written between them. A row of a folder that is
+    deleted comes twice: when the folder arrived, and when it was deleted."""
+    events = _parent_events(spark, d)
+    arrived = events.withColumn("deleted_at", F.lit(None).cast("long")).withColumn("at", F.col("first_at"))
+    gone = events.where(F.col("deleted_at").isNotNull()).withColumn("at", F.greatest("first_at", "deleted_at"))
+    return replay(_references(spark, d), arrived.unionByName(gone), _quarter("ref_at"), _quarter("at"), workspace(spark, "orphans"))
+
+
 def _orphan_state(spark: SparkSession, d: str) -> DataFrame:
-    """The whole history as one batch; the state after many batches is the same (tests/test_orphans.py)."""
-    return advance(*empty_state(spark), _references(spark, d), _parent_events(spark, d))[1]
+    return current_references(_orphan_log(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +111,14 @@ def p5_by_month(spark: SparkSession, d: str) -> DataFrame:
     return orphan_counts(_orphan_state(spark, d))
 
 
-QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p5_found": p5_found, "p5_by_month": p5_by_month}
+def p5_open(spark: SparkSession, d: str) -> DataFrame:
+    """References that are orphans at the end of each batch in which any was opened or closed, by table and field."""
+    return open_by_batch(_orphan_log(spark, d)).where((F.col("opened") > 0) | (F.col("closed") > 0)).select(
+        F.col("batch").cast("long").alias("batch"), "src_table", "ref_field", "open"
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_counts": p1_counts, "p5_found": p5_found, "p5_by_month": p5_by_month, "p5_open": p5_open}
 
 _TRIM = r"regexp_replace({}, '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')"
 
