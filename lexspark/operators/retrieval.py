@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import partial
 from math import ceil
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -99,33 +100,38 @@ def bm25_pool(pool: DataFrame, text: str, terms: str) -> DataFrame:
     return pool.join(scored, ["query_id", "id"], "left").withColumn("bm25", F.round(F.coalesce("bm25", F.lit(0.0)), 6))
 
 
-def bm25_topn(docs: DataFrame, queries: DataFrame, n: int, query_block: int = 1024) -> DataFrame:
+def bm25_topn(docs: DataFrame, queries: DataFrame, n: int, query_block: int = 1024, term_block: int = 1_000_000) -> DataFrame:
     """(query_id, id, bm25, place) over the whole corpus, rounded to 6 digits. docs: id, text; queries: query_id, terms.
 
-    Two passes over the corpus: how many texts have each term of the queries, and the scores. Queries go to the tasks in
-    blocks of a fixed size; words are hashed in the JVM, and a task adds up the weights of its texts for all queries of
-    a block at once. Only n rows per query and task are shuffled. Texts without a term of a query have no score for it.
+    First one pass over the corpus counts the texts that have each term of the queries (one for every `term_block` terms,
+    which is what tasks are sent at once), then one pass for each block of queries scores: words are hashed in the JVM, and a
+    task adds up the weights of its texts for all queries of a block at once, through lists of the queries that have a term.
+    Only n rows per query and task are shuffled. Texts without a term of a query have no score for it.
     """
     spark = docs.sparkSession
     hashed = docs.select("id", F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("w"))
-    total = docs.count()
-    parts = max(1, ceil(queries.count() / query_block))
+    wanted = queries.select("query_id", F.explode("terms").alias("t")).select("query_id", F.xxhash64("t").alias("h")).distinct()
+    pairs = wanted.toArrow()
+    asked_by, of = pairs["query_id"].to_numpy(), pairs["h"].to_numpy()
+    every = np.unique(of)
+    df = np.zeros(len(every))
+    total = 0
+    for s in range(0, max(len(every), 1), term_block):
+        shared = spark.sparkContext.broadcast(every[s : s + term_block])
+        counted = hashed.mapInArrow(partial(_frequencies, shared=shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        at, count = counted["term"].to_numpy(), counted["n"].to_numpy()
+        df[s + at[at >= 0]] = count[at >= 0]
+        total = int(count[at < 0].sum())
+    idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+    ids = np.unique(asked_by)
     found = None
-    for part in range(parts):
-        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        wanted = mine.select("query_id", F.explode("terms").alias("t")).select("query_id", F.xxhash64("t").alias("h"))
-        pairs = wanted.distinct().toArrow()
-        qid, qrow = np.unique(pairs["query_id"].to_numpy(), return_inverse=True)
-        terms, tcol = np.unique(pairs["h"].to_numpy(), return_inverse=True)
-        asked = np.zeros((len(terms), len(qid)))
-        asked[tcol, qrow] = 1
-        shared = spark.sparkContext.broadcast((qid, terms, asked))
-        counted = hashed.mapInArrow(partial(_frequencies, shared=shared), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        df = np.zeros(len(terms))
-        for r in counted.collect():  # as many rows as the block has terms
-            df[r["term"]] = r["n"]
-        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
-        ready = spark.sparkContext.broadcast((qid, terms, asked * idf[:, None]))
+    for s in range(0, max(len(ids), 1), query_block):
+        qid = ids[s : s + query_block]
+        mine = np.isin(asked_by, qid)
+        terms, tcol = np.unique(of[mine], return_inverse=True)
+        order = np.argsort(tcol, kind="stable")
+        lists = np.searchsorted(tcol[order], np.arange(len(terms) + 1)), np.searchsorted(qid, asked_by[mine])[order]
+        ready = spark.sparkContext.broadcast((qid, terms, idf[np.searchsorted(every, terms)], lists))
         one = hashed.mapInArrow(partial(_scores, shared=ready, n=n), "query_id long, id long, bm25 double")
         found = one if found is None else found.unionByName(one)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bm25").desc(), "id"))
@@ -146,29 +152,34 @@ def _known(b: pa.RecordBatch, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    _, terms, _ = shared.value
-    n = np.zeros(len(terms), "i8")
+    """How many texts have each term, and under -1 how many there are."""
+    terms = shared.value
+    n, rows = np.zeros(len(terms), "i8"), 0
     for b in batches:
+        rows += b.num_rows
         if len(terms) and b.num_rows:
             n += np.bincount(_known(b, terms)[1], minlength=len(terms))
     some = np.flatnonzero(n)
-    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(n[some])], names=["term", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.r_[some, -1], pa.int64()), pa.array(np.r_[n[some], rows], pa.int64())], names=["term", "n"])
 
 
 def _scores(batches: Iterator[pa.RecordBatch], shared, n: int) -> Iterator[pa.RecordBatch]:
-    qid, terms, idf = shared.value
+    qid, terms, idf, (start, asked) = shared.value
     best = TopN(len(qid), n)
     for b in batches:
         if not len(terms) or not b.num_rows:
             continue
         row, term, tf, size = _known(b, terms)
-        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / USUAL_LENGTH))
+        weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[row] / USUAL_LENGTH)) * idf[term]
         ids = b.column("id").to_numpy()
         for s in range(0, b.num_rows, 512):
             part = slice(*np.searchsorted(row, (s, s + 512)))
-            dense = np.zeros((min(512, b.num_rows - s), len(terms)))
-            dense[row[part] - s, term[part]] = weight[part]
-            best.add(np.round((dense @ idf).T, 6), ids[s : s + 512], least=0.0)
+            many = (start[term + 1] - start[term])[part]
+            e = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many - start[term[part]], many)
+            rows = min(512, b.num_rows - s)
+            cell = asked[e] * rows + np.repeat(row[part] - s, many)
+            scores = np.bincount(cell, np.repeat(weight[part], many), minlength=len(qid) * rows).reshape(len(qid), rows)
+            best.add(np.round(scores, 6), ids[s : s + 512], least=0.0)
     yield _rows(qid, best, "bm25")
 
 
@@ -214,9 +225,14 @@ def group_hits(rows: DataFrame, group: str, order: list[Column], shown: int = 3)
     )
 
 
-def any_ilike(cols: list[str], terms: Column) -> Column:
-    """Whether a term occurs in any of the columns, without regard to case."""
-    return F.exists(terms, lambda t: F.exists(F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in cols]), lambda x: F.contains(x, t)))
+def similar_grams(queries: DataFrame, laws: DataFrame, least: float) -> DataFrame:
+    """(query_id, law_id) whose sets of grams share at least `least` of all their grams. queries: query_id, grams; laws: law_id,
+    grams. Sides meet in common grams, which are counted; sets that differ too much in size are not."""
+    left = queries.select("query_id", F.size("grams").alias("_m"), F.explode("grams").alias("_g"))
+    right = laws.select("law_id", F.size("grams").alias("_n"), F.explode("grams").alias("_g"))
+    sized = left.join(right, (left["_g"] == right["_g"]) & (F.col("_n") >= least * F.col("_m")) & (F.col("_m") >= least * F.col("_n")))
+    shared = sized.groupBy("query_id", "law_id", "_m", "_n").agg(F.count(F.lit(1)).alias("_both"))
+    return shared.where(F.col("_both") / (F.col("_m") + F.col("_n") - F.col("_both")) >= least).select("query_id", "law_id")
 
 
 def gated(tier: DataFrame, so_far: DataFrame, fewer_than: int) -> DataFrame:
@@ -225,22 +241,62 @@ def gated(tier: DataFrame, so_far: DataFrame, fewer_than: int) -> DataFrame:
     return tier.join(full, "query_id", "left_anti")
 
 
-def containing(rows: DataFrame, id_: str, cols: list[str], queries: DataFrame, n: int, query_block: int = 4096) -> DataFrame:
+def occurring(rows: DataFrame, id_: str, cols: list[str], texts: DataFrame, text: str, block_chars: int = 4_000_000) -> DataFrame:
+    """(text, id_): the distinct `texts` and the rows that have them in any of the columns, without regard to case.
+
+    All texts are looked for at once by an automaton in one pass over the rows, for each block of texts of at most
+    `block_chars` characters, which bounds what tasks are sent. Null texts are left out, an empty one is in every row.
+    """
+    spark = rows.sparkSession
+    kind = rows.schema[id_].dataType.simpleString()
+    asked = texts.select(F.lower(text).alias("t")).where(F.col("t").isNotNull()).distinct()
+    lower = rows.select(id_, *[F.lower(F.col(c)).alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def passed(block: list[str]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            patterns = shared.value
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            for i, p in enumerate(patterns):
+                if p:
+                    automaton.add_word(p, i)
+            automaton.make_automaton()
+            empty = [i for i, p in enumerate(patterns) if not p]
+            for b in batches:
+                at, which = [], []
+                columns = [b.column(1 + i).to_pylist() for i in range(b.num_columns - 1)]
+                for r in range(b.num_rows):
+                    hits = set(empty)
+                    for c in columns:
+                        if c[r] and len(automaton):
+                            hits.update(i for _, i in automaton.iter(c[r]))
+                    at += [r] * len(hits)
+                    which += hits
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([patterns[i] for i in which], pa.string()), b.column(0).take(pa.array(at, pa.int64()))], names=[text, id_]
+                )
+
+        return lower.mapInArrow(work, f"`{text}` string, `{id_}` {kind}")
+
+    found, block, size = None, [], 0
+    for r in asked.toLocalIterator():
+        if block and size + len(r["t"]) > block_chars:
+            found, block, size = passed(block) if found is None else found.unionByName(passed(block)), [], 0
+        block.append(r["t"])
+        size += len(r["t"]) + 1
+    last = passed(block)
+    return last if found is None else found.unionByName(last)
+
+
+def containing(rows: DataFrame, id_: str, cols: list[str], queries: DataFrame, n: int) -> DataFrame:
     """(query_id, id_): the n rows with the lowest ids that have the text of a query in any of the columns, without regard to case.
 
-    queries: query_id, text. Each text is looked for once. Texts go to the tasks in blocks of a fixed size, one pass over the
-    rows for each.
+    queries: query_id, text. Each text is looked for once, and all of them in one pass (`occurring`).
     """
-    texts = queries.select(F.lower("text").alias("_t")).distinct()
-    parts = max(1, ceil(texts.count() / query_block))
-    lower = rows.select(id_, F.array(*[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in cols]).alias("_in"))
-    found = None
-    for part in range(parts):
-        mine = texts.where(F.pmod(F.xxhash64("_t"), F.lit(parts)) == part)
-        one = lower.join(F.broadcast(mine), F.exists("_in", lambda x: F.contains(x, F.col("_t")))).select("_t", id_)
-        found = one if found is None else found.unionByName(one)
-    place = F.row_number().over(Window.partitionBy("_t").orderBy(id_))
-    first = found.distinct().withColumn("_place", place).where(F.col("_place") <= n)
+    found = occurring(rows, id_, cols, queries, "text")
+    place = F.row_number().over(Window.partitionBy("text").orderBy(id_))
+    first = found.distinct().withColumn("_place", place).where(F.col("_place") <= n).select(F.col("text").alias("_t"), id_)
     return queries.select("query_id", F.lower("text").alias("_t")).join(first, "_t").select("query_id", id_)
 
 

@@ -9,7 +9,7 @@ from lexspark.functions.notation import stripped
 from lexspark.functions.text import query_keywords, query_terms, STOP_WORDS, trigram_similarity, trigrams
 from lexspark.operators.evaluate import mean_metrics, ranking_metrics
 from lexspark.operators.retrieval import (
-    any_ilike, bm25_pool, bm25_topn, cascade, dense_topn, diversify, fuse, gated, group_hits, homogeneity, keyword_boost,
+    bm25_pool, bm25_topn, cascade, dense_topn, diversify, fuse, gated, group_hits, homogeneity, keyword_boost, occurring, similar_grams,
 )
 from lexspark.plans.common import CORPUS, LAWS, corpus, current_laws, trim
 from lexspark.session import durable
@@ -146,7 +146,8 @@ def abbreviations(spark: SparkSession, d: str) -> DataFrame:
 
 def tiered_union(spark: SparkSession, d: str) -> DataFrame:
     """Laws alone for each question (all tiers of the search: `tiered_search`): words of a title (0.9), then, for questions with fewer than 3, parts of words
-    in title, alternative title or key (0.65), then, for those with none, any law by trigrams (0.5)."""
+    in title, alternative title or key (0.65), then, for those with none, any law by trigrams (0.5). Words, parts and trigrams meet
+    as keys of joins; a part is found by an automaton over all keywords."""
     asked = table(spark, d, "eval_items").select(
         F.col("item_id").alias("query_id"), query_keywords(F.col("question_text")).alias("keywords"),
         trigrams(F.col("question_text")).alias("grams"),
@@ -155,15 +156,13 @@ def tiered_union(spark: SparkSession, d: str) -> DataFrame:
     titles = laws.select("law_id", F.explode(query_keywords(F.col("law_title"), ())).alias("word"))
     words = asked.select("query_id", F.explode("keywords").alias("word"))
     tier = lambda df, name, score: df.select("query_id", "law_id", F.lit(name).alias("tier"), F.lit(score).alias("score"))
-    full = tier(titles.join(words, "word").select("query_id", "law_id").distinct(), "title", 0.9)
-    # the questions are a set of fixed size, compared with the laws in blocks
-    few = gated(asked, full, 3)
-    like = tier(laws.join(F.broadcast(few), any_ilike(["law_title", "alt_title", "law_key"], F.col("keywords"))), "part", 0.65)
-    so_far = full.unionByName(like)
+    full = durable(titles.join(words, "word").select("query_id", "law_id").distinct())
+    few = gated(words, full, 3)
+    parts = occurring(laws, "law_id", ["law_title", "alt_title", "law_key"], few, "word")
+    so_far = durable(tier(full, "title", 0.9).unionByName(tier(parts.join(few, "word").select("query_id", "law_id").distinct(), "part", 0.65)))
     none = gated(asked, so_far, 1)
-    grams = laws.withColumn("own", trigrams(F.col("law_title")))
-    near = tier(grams.join(F.broadcast(none), trigram_similarity(F.col("own"), F.col("grams")) >= 0.3), "trigram", 0.5)
-    return so_far.unionByName(near)
+    near = similar_grams(none.select("query_id", "grams"), laws.select("law_id", trigrams(F.col("law_title")).alias("grams")), 0.3)
+    return so_far.unionByName(tier(near, "trigram", 0.5))
 
 
 def tiered_search(spark: SparkSession, d: str) -> DataFrame:
