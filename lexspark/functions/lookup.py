@@ -47,3 +47,14 @@ def matches_search(text: Column, query: Column) -> Column:
     wanted = lambda g: F.exists(parts(g), lambda w: ~w.startswith("-"))
     groups = F.split(F.coalesce(query, F.lit("")), r"(?i)\s+or\s+")
     return F.exists(groups, lambda g: wanted(g) & F.forall(parts(g), meets))
+
+
+def reverse_term(text: Column, pairs: Column) -> Column:
+    """The first term whose translation is the text, else the first one whose translation occurs in it; without regard to case.
+
+    pairs: array<struct<a, b>> in order; null where there is none.
+    """
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    same = F.filter(pairs, lambda p: F.lower(p["b"]) == low)
+    part = F.filter(pairs, lambda p: F.contains(low, F.lower(p["b"])))
+    return F.coalesce(F.get(same, F.lit(0))["a"], F.get(part, F.lit(0))["a"])

@@ -171,3 +171,69 @@ def share_of(words: Column, listed: tuple[str, ...]) -> Column:
     """Share of the words that are in a list; 0 for no words."""
     known = F.array(*[F.lit(w) for w in listed])
     return F.coalesce(F.try_divide(F.size(F.filter(words, lambda w: F.array_contains(known, w))), F.size(words)), F.lit(0.0))
+
+
+def expanded(c: Column, terms: Column) -> Column:
+    """A query with the terms of its category before it; as it is without any."""
+    return F.concat_ws(" ", F.when(F.size(terms) > 0, F.array_join(terms, " ")), c)
+
+
+def query_text(c: Column) -> Column:
+    """The query to embed."""
+    return F.concat(F.lit("query: "), c)
+
+
+def tagged_passage(law_key: Column, norm_title: Column, content: Column, longest: int = 4096) -> Column:
+    """The text to embed with the law's key in front: `passage: [KEY] title. content`, without empty parts."""
+    some = lambda c, a, b: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(a), c, F.lit(b))).otherwise("")
+    return F.concat(
+        F.lit("passage: "), some(law_key, "[", "] "), some(norm_title, "", ". "), F.coalesce(F.substring(content, 1, longest), F.lit(""))
+    )
+
+
+def assembled_prompt(parts: list[tuple[str, Column]]) -> Column:
+    """Lines of `name: value`; parts that are null or blank are left out."""
+    return F.concat_ws("\n", *[F.when(F.trim(c) != "", F.concat(F.lit(f"{name}: "), c)) for name, c in parts])
+
+
+def url_encoded(c: Column) -> Column:
+    """Percent-encoded, blanks as %20."""
+    return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+
+
+def fallback_words(c: Column, stop: tuple[str, ...] = STOP_WORDS, longest: int = 6) -> Column:
+    """The first words of more than two characters that are no stop words, as one text."""
+    words = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop))
+    return F.array_join(F.slice(words, 1, longest), " ")
+
+
+def only_keys(c: Column, keys: Column, most: int = 3) -> Column:
+    """Whether a text is one to `most` words that are all known keys."""
+    words = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != "")
+    return (F.size(words) > 0) & (F.size(words) <= most) & F.forall(words, lambda w: F.array_contains(keys, w))
+
+
+def is_landmark(c: Column, least: int = 3) -> Column:
+    """Whether a line only helps to find one's way: a table of contents, a link to the top, or shorter than `least`."""
+    low = F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    return low.contains("table of contents") | low.contains("back to top") | (F.length(low) < least)
+
+
+def authority(title: Column, key: Column) -> Column:
+    """Who made a law, by words of its title and the form of its key."""
+    t, k = F.upper(F.coalesce(title, F.lit(""))), F.upper(F.coalesce(key, F.lit("")))
+    court = k.contains("BGH") | k.contains("BVERFG") | k.contains("BSG") | k.contains("BFH")
+    law = t.contains("GESETZ") | k.endswith("G")
+    return F.when(law, "Federal Law").when(t.contains("ORDNUNG"), "Regulation").when(court, "Court Decision").otherwise("Regulation")
+
+
+def in_force(title: Column) -> Column:
+    """Whether a law is in force, by notes in its title."""
+    t = F.lower(F.coalesce(title, F.lit("")))
+    return F.when(t.contains("außer kraft") | t.contains("weggefallen") | t.contains("(a.f.)"), "Invalid/Amended").otherwise("Active")
+
+
+def jurisdiction(title: Column, key: Column) -> Column:
+    """Where a law holds: in Berlin if title or key name it, else in all of Germany."""
+    named = F.lower(F.concat_ws(" ", key, title)).contains("berlin")
+    return F.when(named, "Berlin (State)").otherwise("Germany (Federal)")

@@ -25,3 +25,9 @@ def mean_metrics(per_query: DataFrame) -> DataFrame:
     """Averages over queries, and how many there are."""
     names = [c for c in per_query.columns if c == "mrr" or c.startswith("recall_")]
     return per_query.agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 6).alias(c) for c in names])
+
+
+def any_in_top(ranked: DataFrame, relevant: DataFrame, n: int = 3) -> DataFrame:
+    """(query_id, hit): whether any relevant item of a query is among its first n."""
+    judged = relevant.select("query_id", "item").distinct().join(ranked.where(F.col("place") <= n).select("query_id", "item", "place"), ["query_id", "item"], "left")
+    return judged.groupBy("query_id").agg((F.count("place") > 0).alias("hit"))

@@ -36,32 +36,39 @@ def _rows(qid: np.ndarray, best: TopN, name: str) -> pa.RecordBatch:
     )
 
 
-def dense_topn(queries: DataFrame, rows: DataFrame, n: int, dim: int = 64, query_block: int = 4096) -> DataFrame:
+def dense_topn(queries: DataFrame, rows: DataFrame, n: int, dim: int = 64, query_block: int = 4096, within: str | None = None) -> DataFrame:
     """(query_id, id, dense, place): the n rows with the greatest cosine, rounded to 6 digits; of equals the lower id.
 
-    queries: query_id, vec; rows: id, vec, usable vectors only. Queries go to the tasks in blocks of a fixed size, one
+    queries: query_id, vec; rows: id, vec, usable vectors only. With `within`, a column of both sides, a query that has a value
+    there is compared with rows of this value alone, before the ranking; one that has none with all rows. Queries go to the tasks in blocks of a fixed size, one
     pass over the rows for each; a task keeps n rows per query, so that only these are shuffled, never vectors.
     """
     spark = rows.sparkSession
+    # 0 stands for no value; two values of one hash are as likely as a broken disk
+    group = F.lit(0).cast("long") if within is None else F.coalesce(F.when(F.col(within).isNotNull(), F.xxhash64(within)), F.lit(0))
     parts = max(1, ceil(queries.count() / query_block))
     found = None
     for part in range(parts):
-        t = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).select("query_id", "vec").toArrow().combine_chunks()
+        mine = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        t = mine.select("query_id", "vec", group.alias("g")).toArrow().combine_chunks()
         qx = _matrix(t["vec"].combine_chunks(), dim) if t.num_rows else np.zeros((0, dim))
-        shared = spark.sparkContext.broadcast((t["query_id"].to_numpy(), qx))
+        shared = spark.sparkContext.broadcast((t["query_id"].to_numpy(), qx, t["g"].to_numpy()))
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qid, qx = shared.value
+            qid, qx, wanted = shared.value
             best = TopN(len(qid), n)
             for b in batches:
                 if not b.num_rows or not len(qid):
                     continue
-                x, ids = _matrix(b.column("vec"), dim), b.column("id").to_numpy()
+                x, ids, own = _matrix(b.column("vec"), dim), b.column("id").to_numpy(), b.column("g").to_numpy(zero_copy_only=False)
                 for s in range(0, len(x), 2048):
-                    best.add(np.round(qx @ x[s : s + 2048].T, 6), ids[s : s + 2048])
+                    c = np.round(qx @ x[s : s + 2048].T, 6)
+                    if within is not None:
+                        c[(wanted[:, None] != 0) & (wanted[:, None] != own[None, s : s + 2048])] = -np.inf
+                    best.add(c, ids[s : s + 2048])
             yield _rows(qid, best, "dense")
 
-        one = rows.select("id", "vec").mapInArrow(work, "query_id long, id long, dense double")
+        one = rows.select("id", "vec", group.alias("g")).mapInArrow(work, "query_id long, id long, dense double")
         found = one if found is None else found.unionByName(one)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("dense").desc(), "id"))
     return found.withColumn("place", place).where(F.col("place") <= n)
@@ -365,3 +372,14 @@ def homogeneity(rows: DataFrame, group: str) -> DataFrame:
     return per.groupBy("query_id").agg(
         F.round(F.max("n") / F.sum("n"), 6).alias("share"), F.max("top").alias("top")
     )
+
+
+def widened(first: DataFrame, second: DataFrame, flagged: DataFrame, group: str) -> DataFrame:
+    """`first`, and for the queries of `flagged` the best row of each group of `second` that `first` does not have.
+
+    first, second: query_id, id, group, score. Rows that are added are marked by `added`.
+    """
+    new = second.join(flagged.select("query_id").distinct(), "query_id", "left_semi").join(first.select("query_id", group).distinct(), ["query_id", group], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("query_id", group).orderBy(F.col("score").desc(), "id"))
+    best = new.withColumn("_n", rank).where(F.col("_n") == 1).drop("_n")
+    return first.withColumn("added", F.lit(False)).unionByName(best.select(*first.columns).withColumn("added", F.lit(True)))

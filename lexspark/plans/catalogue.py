@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("upkeep", "search", "wording", "state", "quality", "streams")
+MODULES = ("upkeep", "search", "wording", "state", "quality", "streams", "serving", "exchange")
 
 
 def _merged(what: str) -> dict:

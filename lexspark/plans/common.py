@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from lexspark.functions.notation import ntz_micros, stripped
 from lexspark.functions.vectors import is_vector
+from lexspark.operators.skew import salted_left_join
 from lexspark.sources.tables import table
 
 DIM = 64
 
 
 def newest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, that with the greatest `order`; nulls last."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last()))
+    """One row per key, that with the greatest `order`; nulls last. Of equals the one with the lowest hash of the whole row, so
+    that the choice is the same in every run."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), F.xxhash64(*df.columns)))
     return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
 
 
@@ -33,7 +35,8 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
         "id", "law_id", stripped(F.col("norm_id")).alias("norm_id"), F.col("title").alias("norm_title"), "content",
         F.when(is_vector(F.col("embedding"), DIM), F.col("embedding")).alias("vec"),
     )
-    return norms.join(current_laws(spark, d).select("law_id", "law_key", "law_title", "category"), "law_id", "left")
+    laws = current_laws(spark, d).select("law_id", "law_key", "law_title", "category")
+    return salted_left_join(norms, laws, "law_id", "id", 8)  # one law has a tenth of the norms
 
 
 TRIM = r"regexp_replace({}, '^[\s\x{{00a0}}\x{{feff}}]+|[\s\x{{00a0}}\x{{feff}}]+$', '', 'g')"

@@ -108,14 +108,17 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d, TOP).select("query_id", "id", "bm25", F.col("place").cast("long").alias("place"))
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
+def _ranked_and_relevant(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     found = _bm25(spark, d, 50).join(corpus(spark, d).select("id", "law_key", "norm_id"), "id")
     ranked = found.where(F.col("law_key").isNotNull() & F.col("norm_id").isNotNull()).select(
         "query_id", F.concat_ws(" ", "norm_id", "law_key").alias("item"), "place"
     )
     relevant = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.explode("paragraphs").alias("item"))
-    relevant = relevant.withColumn("item", stripped(F.col("item")))
-    return ranking_metrics(ranked, relevant)
+    return ranked, relevant.withColumn("item", stripped(F.col("item")))
+
+
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return ranking_metrics(*_ranked_and_relevant(spark, d))
 
 
 def eval_by_query(spark: SparkSession, d: str) -> DataFrame:

@@ -72,16 +72,25 @@ def still_to_fetch(items: DataFrame, fetched: DataFrame, key: str) -> DataFrame:
 def questions(spark: SparkSession, path: str) -> DataFrame:
     """(question, paragraphs array<string>) of a JSON array or lines; paragraphs may be a list, one string, or absent."""
     raw = spark.read.option("multiLine", True).schema("Question_text string, Paragraphs string").json(path)
-    p = F.trim(F.coalesce("Paragraphs", F.lit("")))
+    return raw.where(F.col("Question_text").isNotNull()).select(F.col("Question_text").alias("question"), paragraphs_of(F.col("Paragraphs")).alias("paragraphs"))
+
+
+def paragraphs_of(c: Column) -> Column:
+    """array<string> of a JSON list, of one text, or of nothing."""
+    p = F.trim(F.coalesce(c, F.lit("")))
     listed = F.from_json(p, "array<string>")
-    paragraphs = F.when(p == "", F.array().cast("array<string>")).when(p.startswith("["), listed).otherwise(F.array(p))
-    return raw.where(F.col("Question_text").isNotNull()).select(F.col("Question_text").alias("question"), paragraphs.alias("paragraphs"))
+    return F.when(p == "", F.array().cast("array<string>")).when(p.startswith("["), listed).otherwise(F.array(p))
 
 
 def dictionary_lines(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of lines like `key: "value",`; others are left out."""
+    return dictionary_of(spark.read.text(path), "value")
+
+
+def dictionary_of(lines: DataFrame, column: str) -> DataFrame:
+    """(key, value) of lines that are in a column."""
     line = r"""^\s*["']?([\w.]+)["']?\s*:\s*["'](.*)["']\s*,?\s*$"""
-    rows = spark.read.text(path).select(F.regexp_extract("value", line, 1).alias("key"), F.regexp_extract("value", line, 2).alias("value"))
+    rows = lines.select(F.regexp_extract(column, line, 1).alias("key"), F.regexp_extract(column, line, 2).alias("value"))
     return rows.where(F.col("key") != "")
 
 
