@@ -2,11 +2,13 @@ import datetime as dt
 import json
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lexspark.operators.store import current
 from lexspark.streaming.merge import merge_stream
-from lexspark.streaming.windows import anchored_stream, anchored_windows, assembled, debounced, fixed_windows, fixed_windows_stream
+from lexspark.streaming.windows import anchored_stream, anchored_windows, assembled, debounced, fifo_hits, fixed_windows, fixed_windows_stream
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -44,6 +46,30 @@ def test_border_opens_a_new_window_and_nulls_are_left_out(spark):
     assert anchored_windows(df.where("id > 9"), "who", F.col("at"), "id", 60).count() == 0
 
 
+@pytest.mark.parametrize(("slices", "span"), [(1, 300), (2, 3000), (3, 40)])
+def test_slices_of_a_log_change_nothing(spark, slices, span):
+    r = random.Random(slices)
+    events = sorted(((i, r.choice("abbb"), r.randint(-span, span * r.choice((1, 1, 30)))) for i in range(400)), key=lambda e: (e[2], e[0]))
+    df = spark.createDataFrame(events, "id long, who string, at long").repartition(5)
+    got = {x["id"]: (x["opened"], x["number"]) for x in anchored_windows(df, "who", F.col("at"), "id", 20, slices).collect()}
+    assert got == brute(events, 20)
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 50])
+def test_cache_pushes_out_the_oldest(spark, capacity):
+    r = random.Random(capacity)
+    log = [(i, r.choice("ab"), r.choice((None, *"uvwxyz")), r.randint(0, 400)) for i in range(300)]
+    made, want = {}, {}
+    for i, who, key, at in sorted(log, key=lambda e: (e[3], e[0])):
+        cache = made.setdefault(who, [])
+        want[i] = any(k == key and at - t <= 30 for k, t in cache) and key is not None
+        if key is not None and not want[i]:
+            made[who] = ([c for c in cache if c[0] != key] + [(key, at)])[-capacity:]
+    df = spark.createDataFrame([*log, (900, None, "u", 1), (901, "a", "u", None)], "id long, who string, k string, at long")
+    assert {x["id"]: x["hit"] for x in fifo_hits(df, "who", F.col("at"), "id", "k", 30, capacity).collect()} == want
+    assert fifo_hits(df.where("id > 999"), "who", F.col("at"), "id", "k", 30, capacity).count() == 0
+
+
 def stream(spark, df, path):
     df.orderBy("ts").write.parquet(path)
     return spark.readStream.schema(df.schema).parquet(path)
