@@ -48,22 +48,27 @@ def stitch_paragraphs(text: Column) -> Column:
 
     Lines before the first number are paragraphs of their own, numbered by their place from 0. Blank lines are left out.
     """
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    placed = F.transform(lines, lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("i")))
+    lines = F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: F.trim(x) != ""), lambda x: F.trim(x))
     number = lambda x: F.concat(*[F.regexp_extract(x, _NUMBER, g) for g in (1, 2, 3)])
-    element = "struct<number:string,text:string>"
-    start = F.from_json(F.lit("[]"), f"array<{element}>")
-
-    def step(done: Column, p: Column) -> Column:
-        n = number(p["x"])
-        last = F.try_element_at(done, F.lit(-1))
-        numbered = last["text"].rlike(_NUMBER)
-        fresh = F.struct(F.when(n != "", n).otherwise(p["i"].cast("string")).alias("number"), p["x"].alias("text"))
-        longer = F.struct(last["number"].alias("number"), F.concat_ws("\n", last["text"], p["x"]).alias("text"))
-        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))
-        return F.when((n == "") & F.coalesce(numbered, F.lit(False)), joined).otherwise(F.concat(done, F.array(fresh)))
-
-    return F.aggregate(placed, start, step)
+
+    def starts(v: Column) -> Column:
+        """Places of the lines that begin a paragraph: those with a number, and all before the first of these."""
+        first = F.array_position(F.transform(v["numbers"], lambda n: n != ""), F.lit(True))
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(v["lines"]), F.lit(1))), lambda i: i <= F.size(v["lines"]))
+        return F.filter(places, lambda i: (F.get(v["numbers"], i - 1) != "") | (first == 0) | (i < first))
+
+    def paragraphs(v: Column) -> Column:
+        def one(i: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(v["starts"], k + 1), F.size(v["lines"]) + 1)
+            n = F.get(v["numbers"], i - 1)
+            return F.struct(F.when(n != "", n).otherwise((i - 1).cast("string")).alias("number"), F.array_join(F.slice(v["lines"], i, end - i), "\n").alias("text"))
+
+        return F.transform(v["starts"], one)
+
+    # each step once per text, as variables of functions over arrays of one entry
+    held = F.transform(F.array(lines), lambda x: F.struct(x.alias("lines"), F.transform(x, number).alias("numbers")))
+    begun = F.transform(held, lambda v: F.struct(v["lines"].alias("lines"), v["numbers"].alias("numbers"), starts(v).alias("starts")))
+    return F.transform(begun, paragraphs)[0]
 
 
 def sections(df: DataFrame, key: str, html: str, header: str) -> DataFrame:

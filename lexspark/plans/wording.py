@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,7 +186,38 @@ w AS (SELECT item_id, 0::BIGINT AS r, 0::BIGINT AS e, []::VARCHAR[] AS o FROM ev
       FROM w JOIN f ON f.item_id = w.item_id AND f.r = w.r + 1)
 SELECT item_id, array_to_string(arg_max(o, r), ' ') AS german FROM w GROUP BY 1"""
 
+_NUMBER = "concat(" + ", ".join(f"regexp_extract(x, '^\\s*(?:\\((\\d+[a-z]?)\\)|(\\d+[a-z]?)[.)]\\s|§\\s*(\\d+[a-z]?))', {g})" for g in (1, 2, 3)) + ")"
+_STEM = "CASE WHEN length(w) > 5 THEN regexp_replace(w, '(?:ungen|ung|ern|en|em|er|es|e|n|s)$', '') ELSE w END"
+
+
+def _stemmed(t: str) -> str:
+    return f"' ' || array_to_string(list_transform(regexp_extract_all(lower({t}), '[\\wäöüß]+'), lambda w: {_STEM}), ' ') || ' '"
+
+
+def _meets(search: str) -> str:
+    """The condition that the padded stems `p` meet a search."""
+    choices = []
+    for choice in re.split(r"(?i)\s+or\s+", search):
+        parts = [x for x in re.findall(r'-?"[^"]*"|\S+', choice) if re.search(r"\w", x)]
+        if any(not x.startswith("-") for x in parts):
+            choices.append(" AND ".join(f"{'NOT ' if x.startswith('-') else ''}contains(p, {_stemmed(repr(x))})" for x in parts))
+    return " OR ".join(f"({c})" for c in choices) or "false"
+
+
 SQL = {
+    "law_search": f"WITH {LAWS}, x AS (SELECT law_id, {_stemmed("concat_ws(' ', law_key, law_title, alt_title)")} AS p FROM l) "
+    + " UNION ALL ".join(f"SELECT '{s}' AS search, law_id FROM x WHERE {_meets(s)}" for s in SEARCHES),
+    "numbered_paragraphs": f"""WITH s AS (SELECT id, list_filter(regexp_split_to_array(coalesce(content, ''), '\\r\\n|\\n|\\r'), lambda x: trim(x, ' ') <> '') AS v FROM norms),
+l AS (SELECT id, trim(unnest(v), ' ') AS x, generate_subscripts(v, 1) AS i FROM s), n AS (SELECT *, {_NUMBER} AS n FROM l),
+g AS (SELECT *, sum((n <> '')::INT) OVER w AS seen FROM n WINDOW w AS (PARTITION BY id ORDER BY i)),
+p AS (SELECT *, sum((n <> '' OR seen = 0)::INT) OVER (PARTITION BY id ORDER BY i) AS p FROM g)
+SELECT id, p::BIGINT - 1 AS place, arg_min(CASE WHEN n <> '' THEN n ELSE (i - 1)::VARCHAR END, i) AS number, string_agg(x, chr(10) ORDER BY i) AS text FROM p GROUP BY id, p""",
+    "html_sections": """WITH s AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?is)<p\\b[^>]*>(.*?)(?:</p>|$)', 1),
+    lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ')) AS v FROM documents WHERE contains(text, '<p')),
+l AS (SELECT doc_id, unnest(v) AS p, generate_subscripts(v, 1) AS i FROM s),
+h AS (SELECT *, regexp_matches(p, '^(Zwischen|Seit|Nachdem|Mein|Der|Die|Das)') AS head FROM l WHERE p <> ''),
+n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS section_no FROM h)
+SELECT doc_id, section_no, max(p) FILTER (head) AS heading, coalesce(string_agg(p, ' ' ORDER BY i) FILTER (NOT head), '') AS body FROM n GROUP BY ALL""",
     "term_translate": _TRANSLATE,
     "event_props": "SELECT event_type, count(*) AS events, coalesce(sum(try_cast(props::JSON->>'k' AS BIGINT)), 0)::BIGINT AS k FROM events GROUP BY 1",
     "chat_turns": f"SELECT id, length(t) AS chars, substring(sha256(t), 1, 16) AS digest FROM (SELECT id, {_TURN} AS t FROM messages QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST) = 1)",
