@@ -254,3 +254,59 @@ def test_label_cosines_use_all_rows(spark):
     assert (got["a"]["least"], got["a"]["greatest"]) == (0.0, 1.0)
     assert tuple(got["b"])[1:] == (1, None, 0, None, None)
     assert quality.sampled_cosines(v, "g").where("g = 'a'").first()["least"] == 1.0
+
+
+def test_texts_that_occur(spark):
+    docs = spark.createDataFrame([(1, "Kaufvertrag", None), (2, "x", "VERTRAG a.b"), (3, None, None), (4, "ver trag", "")], "id long, a string, b string")
+    asked = spark.createDataFrame([("Vertrag",), ("vertrag",), ("a.b",), ("nie",), (None,), ("",)], "t string")
+    for block in (4_000_000, 1):
+        got = rows(retrieval.occurring(docs, "id", ["a", "b"], asked, "t", block))
+        assert got == [("", 1), ("", 2), ("", 3), ("", 4), ("a.b", 2), ("vertrag", 1), ("vertrag", 2)]
+    assert retrieval.occurring(docs.where("id > 9"), "id", ["a"], asked, "t").count() == 0
+    assert retrieval.occurring(docs, "id", ["a"], asked.where("t = 'q'"), "t").count() == 0
+
+
+def test_similar_grams_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    left, right = ([(i, r.sample("abcdefghij", r.randint(0, 8))) for i in range(40)] for _ in range(2))
+    got = rows(retrieval.similar_grams(spark.createDataFrame(left, "query_id long, grams array<string>"), spark.createDataFrame(right, "law_id long, grams array<string>"), 0.5))
+    assert got == sorted((i, j) for i, a in left for j, b in right if a and b and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.5)
+
+
+def test_dense_search_within_a_group(spark):
+    vectors = spark.createDataFrame([(i, [1.0, i / 10], "ab"[i % 2] if i < 8 else None) for i in range(10)], "id long, vec array<double>, g string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], "b"), (2, [1.0, 0.0], None), (3, [1.0, 0.0], "z")], "query_id long, vec array<double>, g string")
+    got = rows(retrieval.dense_topn(asked, vectors, 3, 2, within="g"), "query_id", "id")
+    assert got == [(1, 1), (1, 3), (1, 5), (2, 0), (2, 1), (2, 2)]
+
+
+def test_widening_adds_the_first_row_of_each_new_group(spark):
+    schema = "query_id long, id long, g string, score double"
+    first = spark.createDataFrame([(1, 1, "a", 0.5), (2, 2, "a", 0.9)], schema)
+    second = spark.createDataFrame([(1, 7, "a", 0.8), (1, 8, "b", 0.3), (1, 9, "b", 0.4), (1, 6, "c", 0.2), (1, 5, "c", 0.2), (2, 8, "b", 0.3)], schema)
+    got = rows(retrieval.widened(first, second, spark.createDataFrame([(1,), (1,)], "query_id long"), "g"), "query_id", "id", "added")
+    assert got == [(1, 1, False), (1, 5, True), (1, 9, True), (2, 2, False)]
+
+
+def test_blocks_of_queries_and_terms_score_alike(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 1 + i % 9))) for i in range(60)] + [(99, None)], "id long, text string")
+    asked = spark.createDataFrame([(q, [f"w{q % 7}", f"w{q % 5}", "w1"]) for q in range(9)] + [(50, []), (51, None)], "query_id long, terms array<string>")
+    whole = rows(retrieval.bm25_topn(docs, asked, 4))
+    assert whole and whole == rows(retrieval.bm25_topn(docs, asked, 4, 2, 3))
+
+
+def test_any_in_top(spark):
+    ranked = spark.createDataFrame([(1, "a", 4), (1, "b", 3), (2, "a", 4)], "query_id long, item string, place int")
+    relevant = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "c")], "query_id long, item string")
+    assert rows(evaluate.any_in_top(ranked, relevant)) == [(1, True), (2, False), (3, False)]
+
+
+def test_join_with_a_hot_key_repeated_as_a_whole(spark):
+    from lexspark.operators.skew import salted_left_join
+
+    left = spark.createDataFrame([(i, None if i % 5 == 0 else "h" if i % 3 else f"k{i}") for i in range(60)], "id long, k string")
+    right = spark.createDataFrame([("h", 1), ("k3", 2)], "k string, v int")
+    want = sorted(((i, {"h": 1, "k3": 2}.get(k)) for i, k in ((r["id"], r["k"]) for r in left.collect())))
+    assert sorted((r["id"], r["v"]) for r in salted_left_join(left, right, "k", "id", 4).collect()) == want
