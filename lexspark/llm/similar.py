@@ -266,21 +266,26 @@ def _footrule(perm: np.ndarray) -> np.ndarray:
     return sums + sums.T
 
 
-def _reranked(near: np.ndarray, c: np.ndarray, error: np.ndarray, keep: int, ranked: int, least: float) -> np.ndarray:
-    """Which columns each row keeps: of the `ranked` nearest by footrule, with ties of the last, those whose cosine can be
-    among the `keep` greatest and can be >= `least`. c: cosines, each in error by at most `error` of its row and column."""
-    if near.shape[1] > ranked:
-        edge = np.partition(near, near.shape[1] - ranked, axis=1)[:, near.shape[1] - ranked]
-        among = near >= np.maximum(edge, 1)[:, None]
-    else:
-        among = near > 0
-    high = np.where(among, c + error, -2)
-    kept = among & (high >= least)
-    if near.shape[1] > keep:
-        low = np.where(among, c - error, -2)
-        bound = np.partition(low, low.shape[1] - keep, axis=1)[:, low.shape[1] - keep]
-        kept &= high >= bound[:, None]
-    return kept
+def _reranked(near: np.ndarray, c: np.ndarray, error: np.ndarray, other: np.ndarray, keep: int, ranked: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) that each row keeps: of the `ranked` nearest by footrule, with ties of the last, those whose cosine can
+    be among the `keep` greatest and can be >= `least`. c: cosines, each in error by at most `error` of its row and `other` of
+    its column."""
+    far = error[:, None] + other[None, :]
+    kept = (c + far >= least) & (near > 0)
+    some = np.flatnonzero(kept.any(axis=1))
+    if near.shape[1] > ranked and len(some):
+        edge = np.partition(near[some], near.shape[1] - ranked, axis=1)[:, near.shape[1] - ranked]
+        kept[some] &= near[some] >= edge[:, None]
+    row, col = np.nonzero(kept)
+    low, high = c[row, col] - far[row, col], c[row, col] + far[row, col]
+    # the keep-th greatest lower bound of each row that has so many
+    order = np.lexsort((-low, row))
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    bound = np.full(len(near), -np.inf)
+    last = place == keep - 1
+    bound[row[last]] = low[order][last]
+    within = high >= bound[row]
+    return row[within], col[within]
 
 
 def near_pairs(
@@ -304,7 +309,8 @@ def near_pairs(
         raise ValueError("ranked must be over k, posted and length at least 1")
     good = df.select(F.col(id_).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull())
     good = good.where(usable(F.col("v"), dim))
-    pivots = choose_pivots(good, "id", "v", dim, df.count(), most_pivots)
+    total = df.count()
+    pivots = choose_pivots(good, "id", "v", dim, total, most_pivots)
     spark = df.sparkSession
     if not len(pivots):
         return spark.createDataFrame([], "id_a long, id_b long, cosine double")
@@ -363,8 +369,7 @@ def near_pairs(
             r, c = np.flatnonzero(own == here), np.flatnonzero(own == there)
             for s in range(0, len(r) if len(c) else 0, 512):
                 p = r[s : s + 512]
-                kept = _reranked(near[np.ix_(p, c)], x[p] @ x[c].T, error[p][:, None] + error[c][None, :], k + 2, ranked, least)
-                a, b = np.nonzero(kept)
+                a, b = _reranked(near[np.ix_(p, c)], x[p] @ x[c].T, error[p], error[c], k + 2, ranked, least)
                 some.append(np.stack([p[a], c[b]]))
         a, b = np.concatenate(some, axis=1)
         # a pair that both rows keep goes on once
@@ -381,9 +386,9 @@ def near_pairs(
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     dot = F.aggregate(F.zip_with(wide("va"), wide("vb"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     unit = exact.select("id", "v", size(wide("v")).alias("size"))
+    half = candidates.join(unit.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("size").alias("sa")), "a")
     scored = (
-        candidates.join(unit.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("size").alias("sa")), "a")
-        .join(unit.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("size").alias("sb")), "b")
+        half.join(unit.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("size").alias("sb")), "b")
         .select("a", "b", (dot / (F.col("sa") * F.col("sb"))).alias("cosine"))
         .where(F.col("cosine") >= least)
     )
