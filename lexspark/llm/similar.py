@@ -288,6 +288,12 @@ def _reranked(near: np.ndarray, c: np.ndarray, error: np.ndarray, other: np.ndar
     return row[within], col[within]
 
 
+def _spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """`df` by `keys` in as many parts as it takes for about 25,000 of `rows` in each, as many as the session has at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, ceil(rows / 25_000)), *keys)
+
+
 def near_pairs(
     df: DataFrame, id_: str, vector: str, dim: int = 64, k: int = 10, least: float = 0.9, ranked: int = RANKED,
     length: int = LENGTH, posted: int = POSTED, block: int = BLOCK, most_pivots: int = MOST_PIVOTS,
@@ -376,19 +382,19 @@ def near_pairs(
         pair = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
         return pa.table({"a": ids[pair // max(len(ids), 1)], "b": ids[pair % max(len(ids), 1)]})
 
-    pairs = met.groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long")
+    pairs = _spread(met, posted * total, "pivot", "i", "j").groupBy("pivot", "i", "j").applyInArrow(compare, "a long, b long")
     if len(heads):
         pairs = pairs.unionByName(_crowd_pairs(index, k, least, crowd_block))
     candidates = durable(pairs.distinct())
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    exact = good.join(ends, "id", "left_semi").groupBy("id").agg(F.first("v").alias("v"))
+    exact = _spread(good, total, "id").join(ends, "id", "left_semi").groupBy("id").agg(F.first("v").alias("v"))
     wide = lambda c: F.transform(c, lambda x: x.cast("double"))
     size = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
     dot = F.aggregate(F.zip_with(wide("va"), wide("vb"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     unit = exact.select("id", "v", size(wide("v")).alias("size"))
-    half = candidates.join(unit.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("size").alias("sa")), "a")
+    half = _spread(candidates, total, "a").join(unit.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("size").alias("sa")), "a")
     scored = (
-        half.join(unit.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("size").alias("sb")), "b")
+        _spread(half, k * total, "b").join(unit.select(F.col("id").alias("b"), F.col("v").alias("vb"), F.col("size").alias("sb")), "b")
         .select("a", "b", (dot / (F.col("sa") * F.col("sb"))).alias("cosine"))
         .where(F.col("cosine") >= least)
     )
