@@ -7,8 +7,8 @@ references, which probe the parents, and parent events: an arrival resolves the
 arrival after a deletion, a deletion opens them again, and an earlier arrival than known may end that a reference was
 late.
 
-A batch looks at the log by the keys and references that it brings, in one pass over these columns, and shuffles and writes
-only what it brings and what that changes. How many references are open is summed up from the changes.
+A batch looks at the log by the keys of its events, in one pass over these columns, and shuffles and writes only what it
+brings and what that changes. How many references are open is summed up from the changes.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from lexspark.operators.skew import salted_left_join
 
 REFERENCE = ("src_table", "src_id", "ref_field", "target", "key")
 PARENTS = "target string, key string, first_at long, last_at long, deleted_at long"
-STATE = "src_table string, src_id string, ref_field string, target string, key string, ref_at long, was_late boolean, was_deleted boolean, open boolean, resolved_at long"
-REFERENCES = f"{STATE}, was_open boolean, batch int"
+REFERENCES = (
+    "src_table string, src_id string, ref_field string, target string, key string, ref_at long, first_at long, "
+    "was_deleted boolean, open boolean, resolved_at long, batch int"
+)
+FEW = 200_000  # most keys of a batch that are sent to all tasks; more of them are shuffled with the log
 _EVER = -(2**62)  # before everything
 
 
@@ -49,34 +52,26 @@ def merged_parents(log: DataFrame) -> DataFrame:
     return log.groupBy("target", "key").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.max("deleted_at").alias("deleted_at"))
 
 
-def _latest(log: DataFrame) -> DataFrame:
-    """The last row of each reference."""
-    rest = [c for c in log.columns if c not in REFERENCE]
-    top = log.groupBy(*REFERENCE).agg(F.max_by(F.struct(*rest), "batch").alias("_top"))
-    return top.select(*REFERENCE, "_top.*")
-
-
 def current_references(log: DataFrame) -> DataFrame:
-    """The state of every reference: the last row that the log has of it."""
-    return _latest(log).drop("was_open", "batch")
+    """The state of every reference: the earliest time of its row, and what the last batch says that the log has of it."""
+    last = F.max_by(F.struct("first_at", "was_deleted", "open", "resolved_at"), "batch").alias("_last")
+    each = log.groupBy(*REFERENCE).agg(F.min("ref_at").alias("ref_at"), last)
+    late = F.coalesce(F.col("_last.first_at") > F.col("ref_at"), F.lit(False))
+    return each.select(*REFERENCE, "ref_at", late.alias("was_late"), "_last.was_deleted", "_last.open", "_last.resolved_at")
 
 
-def changes(parents: DataFrame, log: DataFrame, references: DataFrame, events: DataFrame, batch: int, salts: int = 8) -> tuple[DataFrame, DataFrame]:
-    """What a batch appends to the (parent log, reference log).
+def changes(parents: DataFrame, log: DataFrame, references: DataFrame, brought: DataFrame, batch: int, salts: int = 8, few: bool = False) -> DataFrame:
+    """What a batch appends to the reference log: the references that it brings and those of the keys of `brought`, the rows
+    that it appends to the parent log (`parent_events`). `few` says that these are few enough for all tasks.
 
     references: src_table, src_id, ref_field, target, key, ref_at (microseconds or null). Those with a null key are no
     references. Rows that are delivered again (same table, id, field and key), in one batch or in later ones, count once, the
     earliest `ref_at` holds. Extra columns are ignored. `batch` is greater than those before.
     """
-    brought = parent_events(events)
+    touched = brought.select("target", "key")
+    waiting = log.join(F.broadcast(touched) if few else touched, ["target", "key"], "left_semi").select(*REFERENCE, "ref_at")
     fresh = references.where(F.col("key").isNotNull()).select(*REFERENCE, "ref_at")
-    # references of keys with events, and those delivered again
-    of_keys = log.join(brought.select("target", "key"), ["target", "key"], "left_semi")
-    again = fresh.select(*[F.col(c).alias(f"_{c}") for c in REFERENCE]).distinct()
-    delivered = log.join(again, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in REFERENCE], "left_semi")
-    seen = of_keys.unionByName(delivered).select(*REFERENCE, "ref_at", "open", "batch")
-    new = fresh.withColumns({"open": F.lit(False), "batch": F.lit(-1)})
-    probing = seen.unionByName(new).groupBy(*REFERENCE).agg(F.min("ref_at").alias("ref_at"), F.max_by("open", "batch").alias("was_open"))
+    probing = waiting.unionByName(fresh).groupBy(*REFERENCE).agg(F.min("ref_at").alias("ref_at"))
     probing = probing.withColumn("probe", F.concat_ws("\x01", "target", "key"))
     # the parents of these references alone
     asked = probing.select("target", "key").distinct()
@@ -87,15 +82,13 @@ def changes(parents: DataFrame, log: DataFrame, references: DataFrame, events: D
     missing = F.col("first_at").isNull()
     gone = F.col("deleted_at").isNotNull() & ~(F.col("last_at") > F.col("deleted_at"))
     back = F.when(F.col("deleted_at").isNotNull(), F.col("last_at")).otherwise(F.col("first_at"))
-    changed = looked.select(
-        *REFERENCE, "ref_at",
-        F.coalesce(F.col("first_at") > F.col("ref_at"), F.lit(False)).alias("was_late"),
+    return looked.select(
+        *REFERENCE, "ref_at", "first_at",
         F.col("deleted_at").isNotNull().alias("was_deleted"),
         (missing | gone).alias("open"),
         F.when(~missing & ~gone, back).alias("resolved_at"),
-        "was_open", F.lit(batch).alias("batch"),
+        F.lit(batch).alias("batch"),
     )
-    return brought, changed
 
 
 def replay(references: DataFrame, events: DataFrame, period: Column, event_period: Column, path: str) -> DataFrame:
@@ -125,9 +118,9 @@ def replay(references: DataFrame, events: DataFrame, period: Column, event_perio
 
     parents, log = empty_state(spark)
     for b in range(len(edges) + 1):
-        brought, changed = changes(parents, log, part("references", b), part("events", b), b)
-        brought.write.parquet(f"{path}/parents/{b}")
-        changed.write.parquet(f"{path}/log/{b}")
+        parent_events(part("events", b)).write.parquet(f"{path}/parents/{b}")
+        brought = spark.read.schema(PARENTS).parquet(f"{path}/parents/{b}")
+        changes(parents, log, part("references", b), brought, b, few=brought.count() <= FEW).write.parquet(f"{path}/log/{b}")
         parents = spark.read.schema(PARENTS).parquet(*[f"{path}/parents/{i}" for i in range(b + 1)])
         log = spark.read.schema(REFERENCES).parquet(*[f"{path}/log/{i}" for i in range(b + 1)])
     return log
@@ -135,8 +128,8 @@ def replay(references: DataFrame, events: DataFrame, period: Column, event_perio
 
 def advance(parents: DataFrame, log: DataFrame, references: DataFrame, events: DataFrame, batch: int = 0) -> tuple[DataFrame, DataFrame]:
     """The (parent log, reference log) after a batch; write both between batches (tables, or session.durable)."""
-    brought, changed = changes(parents, log, references, events, batch)
-    return parents.unionByName(brought), log.unionByName(changed)
+    brought = parent_events(events)
+    return parents.unionByName(brought), log.unionByName(changes(parents, log, references, brought, batch))
 
 
 def orphan_cases(state: DataFrame) -> DataFrame:
@@ -158,10 +151,10 @@ def orphan_counts(state: DataFrame) -> DataFrame:
 
 def open_by_batch(log: DataFrame) -> DataFrame:
     """(batch, src_table, ref_field, opened, closed, open): how many references each batch has opened and closed, and how many
-    are open after it, summed up from the changes; only batches with changes have rows."""
-    now, before = F.col("open").cast("long"), F.col("was_open").cast("long")
-    each = log.groupBy("batch", "src_table", "ref_field").agg(
-        F.sum(F.greatest(now - before, F.lit(0))).alias("opened"), F.sum(F.greatest(before - now, F.lit(0))).alias("closed")
+    are open after it, summed up from the changes; only batches with rows in the log have any."""
+    before = F.coalesce(F.lag("open").over(Window.partitionBy(*REFERENCE).orderBy("batch")), F.lit(False))
+    each = log.withColumn("_before", before).groupBy("batch", "src_table", "ref_field").agg(
+        F.count_if(F.col("open") & ~F.col("_before")).alias("opened"), F.count_if(~F.col("open") & F.col("_before")).alias("closed")
     )
     so_far = Window.partitionBy("src_table", "ref_field").orderBy("batch")
     return each.withColumn("open", F.sum(F.col("opened") - F.col("closed")).over(so_far))
