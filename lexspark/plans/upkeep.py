@@ -174,7 +174,21 @@ f AS (SELECT d.*, p.k IS NULL OR p.gone AS still_open FROM d LEFT JOIN p ON p.f
       WHERE p.k IS NULL OR p.gone OR p.t > d.t)
 """
 
+_Q = "(year({0}) * 4 + quarter({0}) - 1)"
+_OPEN = _ORPHANS + f""", x AS (SELECT *, {_Q.format('t')} AS q FROM r WHERE k IS NOT NULL),
+g AS (SELECT q, row_number() OVER (ORDER BY q) - 1 AS n FROM (SELECT DISTINCT q FROM x WHERE q IS NOT NULL)),
+y AS (SELECT src_table, src_id, ref_field, k, min(coalesce((SELECT count(*) FROM g WHERE g.q < x.q), 0)) AS rb FROM x GROUP BY ALL),
+e AS (SELECT f, k, min(ab) AS ab, min(db) AS db FROM (
+  SELECT f, k, (SELECT count(*) FROM g WHERE g.q < {_Q.format('t')}) AS ab, NULL AS db FROM p
+  UNION ALL SELECT 'folder_id', lower({_trim('id')}), NULL, (SELECT count(*) FROM g WHERE g.q < {_Q.format('greatest(created_at, deleted_at)')}) FROM folders WHERE deleted_at IS NOT NULL) GROUP BY ALL),
+z AS (SELECT y.*, b.n, ab IS NULL OR ab > b.n OR coalesce(db <= b.n, false) AS open FROM y JOIN (SELECT unnest(range((SELECT count(*) + 1 FROM g))) AS n) b ON b.n >= rb
+  LEFT JOIN e ON e.f = y.ref_field AND e.k = y.k),
+c AS (SELECT *, coalesce(lag(open) OVER (PARTITION BY src_table, src_id, ref_field, k ORDER BY n), false) AS before FROM z),
+h AS (SELECT n, src_table, ref_field, count(*) FILTER (open AND NOT before) AS o, count(*) FILTER (before AND NOT open) AS s FROM c GROUP BY ALL)
+SELECT n AS batch, src_table, ref_field, open::BIGINT AS open FROM (SELECT *, sum(o - s) OVER (PARTITION BY src_table, ref_field ORDER BY n) AS open FROM h) WHERE o > 0 OR s > 0"""
+
 SQL = {
+    "p5_open": _OPEN,
     "p1_found": _CHANGES + "SELECT snap_no, law_key, change_kind FROM f",
     "p1_counts": _CHANGES + "SELECT snap_no, change_kind, count(*) AS laws FROM f GROUP BY ALL",
     "p5_found": _ORPHANS + "SELECT src_table, src_id, ref_field FROM f",
