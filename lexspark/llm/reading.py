@@ -151,9 +151,10 @@ def rated_sample(
     short = F.length(text) <= 20 * most_words
     made = chosen.where(short).select(F.col("y").cast("int").alias("y"), word_hashes(F.col(text)).alias("w"), F.col(key).alias("k"))
     # a document that was delivered again counts once; one task sees the sample, which is bounded
-    one = made.where((F.size("w") > 0) & (F.size("w") <= most_words)).groupBy("k").agg(F.max(F.struct("w", "y")).alias("one"))
+    one = made.groupBy("k").agg(F.max(F.struct("w", "y")).alias("one"))
+    # words are counted behind the grouping, as a filter before it would make them again
     so_far = F.sum(F.size("one.w")).over(Window.orderBy(F.xxhash64("k"), "k"))
-    return one.withColumn("so_far", so_far).where(F.col("so_far") <= all_words).select("one.y", "one.w", "k")
+    return one.where(F.size("one.w").between(1, most_words)).withColumn("so_far", so_far).where(F.col("so_far") <= all_words).select("one.y", "one.w", "k")
 
 
 def fit_reading_model(
