@@ -95,3 +95,38 @@ def test_vectors(spark):
     assert [r[0] for r in df.select(V.is_vector(F.col("v"), 2)).collect()] == [True] + [False] * 6
     a, b = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(0.0), F.lit(0.0))
     assert tuple(spark.range(1).select(V.cosine(a, a), V.cosine(a, b), V.magnitude(a)).first()) == (1.0, 0.0, 5.0)
+
+
+def test_queries_and_prompts(spark):
+    terms = F.array(F.lit("a"), F.lit("b"))
+    assert of(spark, T.query_text(T.expanded(F.col("x"), terms)), "q") == ["query: a b q"]
+    assert of(spark, T.expanded(F.col("x"), F.array().cast("array<string>")), "q", None) == ["q", ""]
+    assert of(spark, T.assembled_prompt([("A", F.col("x")), ("B", F.lit("y"))]), "x", " ", None) == ["A: x\nB: y", "B: y", "B: y"]
+    assert of(spark, T.tagged_passage(F.lit("BGB"), F.col("x"), F.lit("c")), "t", None) == ["passage: [BGB] t. c", "passage: [BGB] c"]
+    assert of(spark, T.url_encoded(F.col("x")), "a b/ü", None) == ["a%20b%2F%C3%BC", None]
+    assert of(spark, T.fallback_words(F.col("x")), "Was ist die alte neue rote blaue gute letzte siebte Frist", None, "") == ["was alte neue rote blaue gute", "", ""]
+    assert of(spark, T.only_keys(F.col("x"), F.array(F.lit("BGB"), F.lit("StGB"))), "BGB", "BGB StGB", "BGB x", "", None, "BGB BGB BGB BGB") == [True, True, False, False, False, False]
+    assert of(spark, T.is_landmark(F.col("x"), 5), "Table of Contents here", "Back to top", "abcd", "abcde", None) == [True, True, True, False, True]
+
+
+def test_fields_of_a_law(spark):
+    assert of(spark, T.authority(F.col("x"), F.lit("K")), "Gesetz", "Verordnung", "x", None) == ["Federal Law", "Regulation", "Regulation", "Regulation"]
+    assert of(spark, T.authority(F.lit("x"), F.col("x")), "BGH 1", "StVG", None) == ["Court Decision", "Federal Law", "Regulation"]
+    assert of(spark, T.in_force(F.col("x")), "X (weggefallen)", "Außer Kraft", "x", None) == ["Invalid/Amended", "Invalid/Amended", "Active", "Active"]
+    assert of(spark, T.jurisdiction(F.col("x"), F.lit("k")), "Bauordnung Berlin", None) == ["Berlin (State)", "Germany (Federal)"]
+
+
+def test_functions_for_sql_texts(spark):
+    from lexspark.functions.register import register
+
+    register(spark)
+    register(spark)
+    got = spark.sql("SELECT trigram_similarity('Haus', 'haus') a, trigram_similarity('', NULL) b, vector_cosine(array(0D), array(1D)) c, bm25_score(0D, 5D, 10D, 1D) d, request_allowed(5, 3) e").first()
+    assert (got["a"], got["b"], got["c"], got["d"]) == (1.0, 0.0, 0.0, 0.0) and tuple(got["e"]) == (False, 0)
+
+
+def test_reverse_terms(spark):
+    from lexspark.functions.lookup import reverse_term
+
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("rent", "miete"), ("tenancy", "miete"), ("rental deposit", "mietkaution"))])
+    assert of(spark, reverse_term(F.col("x"), pairs), " Miete", "Die Mietkaution", "die miete", "x", None) == ["rent", "rental deposit", "rent", None, None]

@@ -83,3 +83,16 @@ def test_input_order_is_irrelevant(spark):
     rows = [(s, f"k{i}", str(i * s % 3), None, 1) for s in (1, 2) for i in range(70)]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).orderBy(F.rand(5))
     assert {tuple(r) for r in snapshot_changes(df, "snap", "name", ["c", "d"], "at").collect()} == brute(rows)
+
+
+def test_registry_is_stored_and_extended(spark, tmp_path):
+    from lexspark.operators.snapshots import extend_registry
+
+    path = str(tmp_path / "ordinals")
+    keys = lambda *k: spark.createDataFrame([(x, 1) for x in k], "k string, bucket int")
+    found = lambda df: {r["k"]: (r["bucket"], r["ordinal"]) for r in df.collect()}
+    first = found(extend_registry(keys("a", "c", "a", None), "k", path, 2))
+    second = found(extend_registry(keys("b", "c"), "k", path, 2))
+    assert set(first) == {"a", "c"} and set(second) == {"a", "b", "c"} and {k: second[k] for k in first} == first
+    assert len(set(second.values())) == 3
+    assert found(extend_registry(keys(), "k", path, 2)) == second
