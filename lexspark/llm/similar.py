@@ -6,8 +6,9 @@ Spearman's footrule with missing pivots at the end, for which
 
     footrule(a, b) = m (m + 1) - 2 * sum over shared pivots of min(weight in a, weight in b),   weight = m - place
 
-so that ranking by footrule distance is ranking by the sum, which is gathered over the inverted files alone. In each file
-every vector ranks the others by footrule, and the nearest of them are reranked by their cosines.
+so that ranking by footrule distance is ranking by the sum, which shared pivots alone make up. In each inverted file every
+vector ranks by footrule the others that can be similar enough, and the nearest of them are reranked by their cosines. What
+can be similar comes from one product of small vectors, as footrules of all pairs of a long file would cost many times that.
 
 Where pivots crowd, that is, many of them are similar to one another, the nearest pivots of a vector all come from its own
 cluster, and permutations of neighbours hardly overlap. Such clusters have heads; vectors near a head are compared by
@@ -32,9 +33,10 @@ from lexspark.session import durable
 
 LENGTH = 12  # pivots in a permutation
 POSTED = 6  # inverted files that a vector stands in
-BLOCK = 2048  # most vectors of an inverted file that one task compares with one another or with as many others
+BLOCK = 16384  # most vectors of an inverted file that one task compares with one another or with as many others
 MOST_PIVOTS = 16384
-RANKED = 128  # vectors of an inverted file, nearest by footrule, that a vector is reranked with; ties of the last one too
+RANKED = 128  # similar vectors of an inverted file, nearest by footrule, that a vector is reranked with; ties of the last one too
+CELLS = 2_000_000  # most pairs of similar vectors of a block that are held together
 FEW = 500_000  # most rows of 24 bytes that are sent to all tasks; more of them are shuffled
 CROWD = 0.8  # cosine to its head from which a vector belongs to a crowd
 CROWD_BLOCK = 8192  # rows of a crowd that one task compares with as many others
@@ -42,8 +44,10 @@ CROWD_BLOCK = 8192  # rows of a crowd that one task compares with as many others
 
 def usable(vector: Column, dim: int) -> Column:
     """Whether a vector has `dim` finite components that are not all zero."""
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.coalesce((F.size(vector) == dim) & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
+    low, high, inf = F.array_min(vector), F.array_max(vector), F.lit(float("inf")).cast("float")
+    # without lambdas, which are not compiled; NaN is above infinity, and where there are nulls the search gives null
+    finite = ~F.array_contains(vector, inf) & (low > -inf) & (high < inf)
+    return F.coalesce((F.size(vector) == dim) & finite & ((low != 0) | (high != 0)), F.lit(False))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -100,14 +104,39 @@ def _permutations(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """Numbers of the nearest pivots of each row, nearest first; of equals the lower number."""
     length = min(length, len(pivots))
     out = np.empty((len(x), length), _number(len(pivots)))
-    for s in range(0, len(x), 512):
-        c = x[s : s + 512] @ pivots.T
+    step = _step(len(pivots))
+    for s in range(0, len(x), step):
+        c = x[s : s + step] @ pivots.T
+        bound = _at_least(c, length)
+        if bound is not None:
+            row, col = np.divmod(np.flatnonzero(c >= bound[:, None]), len(pivots))
+            order = np.lexsort((col, -c[row, col], row))
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            out[s : s + step] = col[order][place < length].reshape(-1, length)
+            continue
         near = np.sort(np.argpartition(-c, length - 1, axis=1)[:, :length], axis=1)
         order = np.argsort(-np.take_along_axis(c, near, 1), axis=1, kind="stable")
-        out[s : s + 512] = np.take_along_axis(near, order, 1)
+        out[s : s + step] = np.take_along_axis(near, order, 1)
     return out
 
 
+def _step(columns: int) -> int:
+    """How many rows to multiply at a time with so many columns, so that the product stays in a core's cache."""
+    return min(512, max(64, (1 << 20) // max(columns, 1)))
+
+
+def _at_least(s: np.ndarray, keep: int) -> np.ndarray | None:
+    """For each row of `s` a value that `keep` of its values or more reach: the keep-th of the greatest of each of many sets of
+    columns. None if there are too few columns for that to be of use."""
+    n, m = s.shape
+    width = max(1, min(64, m // (8 * keep)))
+    parts = m // width
+    if parts <= keep or width < 2:
+        return None
+    top = s[:, : parts * width].reshape(n, width, parts).max(axis=1)
+    return np.partition(top, parts - keep, axis=1)[:, parts - keep]
+
+
 def _fixed(a: np.ndarray) -> pa.Array:
     """Rows of `a` as binary values."""
     width = a.dtype.itemsize * a.shape[1]
@@ -117,7 +146,14 @@ def _fixed(a: np.ndarray) -> pa.Array:
 
 def _rows(column: pa.Array, dtype: str) -> np.ndarray:
     """A column of binary values of one width as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+    at = np.frombuffer(column.buffers()[1], "i4" if column.type == pa.binary() else "i8")[column.offset :][: len(column) + 1]
+    kind = np.dtype(dtype)
+    return np.frombuffer(column.buffers()[2], kind, int(at[-1] - at[0]) // kind.itemsize, int(at[0])).reshape(len(column), -1)
+
+
+def _lists(a: np.ndarray) -> pa.Array:
+    """Rows of `a` as lists of int."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype="i4") * a.shape[1]), pa.array(a.astype("i4").ravel()))
 
 
 def _hashed(good: DataFrame) -> DataFrame:
@@ -125,10 +161,10 @@ def _hashed(good: DataFrame) -> DataFrame:
     return good.select("id", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"))
 
 
-def _represent(good: DataFrame, dim: int, pivots: np.ndarray, length: int, heads: np.ndarray, least: float) -> DataFrame:
-    """(id, perm, q, scale, home, crowds, x) of rows (id, v).
+def _represent(good: DataFrame, dim: int, pivots: np.ndarray, length: int, heads: np.ndarray, least: float, posted: int) -> DataFrame:
+    """(id, perm, posts, q, scale, home, crowds, x) of rows (id, v).
 
-    perm: the permutation; q, scale: what parts the unit vector from its nearest pivot, in 8 bits, so that the error is
+    perm: the permutation; posts: the first `posted` of it, as numbers; q, scale: what parts the unit vector from its nearest pivot, in 8 bits, so that the error is
     small where vectors are close together; home: the nearest head if it is near enough; crowds: heads whose members can
     have a cosine >= `least` with the vector (angles add up at most); x: the unit vector of those that have any.
     """
@@ -151,14 +187,14 @@ def _represent(good: DataFrame, dim: int, pivots: np.ndarray, length: int, heads
                 home, crowds = np.full(len(x), -1), [()] * len(x)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("id"), _fixed(perm), _fixed(q), pa.array(scale),
+                    b.column("id"), _fixed(perm), _lists(perm[:, :posted]), _fixed(q), pa.array(scale),
                     pa.array(home, pa.int32()), pa.array(crowds, pa.list_(pa.int32())),
                     pa.array([r.tobytes() if len(k) else None for r, k in zip(x, crowds)], pa.binary()),
                 ],
-                names=["id", "perm", "q", "scale", "home", "crowds", "x"],
+                names=["id", "perm", "posts", "q", "scale", "home", "crowds", "x"],
             )
 
-    return good.select("id", "v").mapInArrow(work, "id long, perm binary, q binary, scale float, home int, crowds array<int>, x binary")
+    return good.select("id", "v").mapInArrow(work, "id long, perm binary, posts array<int>, q binary, scale float, home int, crowds array<int>, x binary")
 
 
 def _nearest_of(s: np.ndarray, cols: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,13 +203,10 @@ def _nearest_of(s: np.ndarray, cols: np.ndarray, keep: int, least: float) -> tup
     `cols`: the ids of the columns, ascending.
     """
     n, m = s.shape
-    width = max(1, min(64, m // (8 * keep)))
-    parts = m // width
     bound = np.full(n, least, "f4")
-    if parts > keep:
-        # the keep-th of the greatest of each stretch of columns is not above the keep-th of the row
-        top = s[:, : parts * width].reshape(n, parts, width).max(axis=2)
-        bound = np.maximum(bound, np.partition(top, parts - keep, axis=1)[:, parts - keep] - 2e-6)
+    reached = _at_least(s, keep)
+    if reached is not None:
+        bound = np.maximum(bound, reached - 2e-6)
     row, col = np.divmod(np.flatnonzero(s >= bound[:, None]), m)
     c = np.round(s[row, col].astype("f8"), 6)
     order = np.lexsort((col, -c, row))
@@ -232,38 +265,83 @@ def _crowd_pairs(index: DataFrame, k: int, least: float, block: int) -> DataFram
     return first.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
 
 
-def _footrule(perm: np.ndarray) -> np.ndarray:
-    """The sums of footrule weights of all pairs of rows, a symmetric matrix; a row with itself has 0.
+def _footrule(perm: np.ndarray, row: np.ndarray | None = None, col: np.ndarray | None = None) -> np.ndarray:
+    """The sums of footrule weights of the pairs (row, col) of rows of `perm`; without these of all pairs, a symmetric matrix
+    in which a row with itself has 0."""
+    n, m = perm.shape
+    if row is None:
+        row, col = np.divmod(np.arange(n * n), n)
+        return np.where(row == col, 0, _footrule(perm, row, col)).reshape(n, n)
+    weight = np.arange(m, 0, -1, dtype="i1")
+    out = np.empty(len(row), "i4")
+    mine, at = np.unique(row, return_inverse=True)
+    weights = np.zeros((min(len(mine), 512), int(perm.max(initial=0)) + 1), "i1")
+    order = np.argsort(at, kind="stable")
+    for s in range(0, len(mine), 512):
+        # the weights of pivots in some rows as a table, in which the pivots of the others are looked up
+        some = perm[mine[s : s + 512]].astype("i8")
+        np.put_along_axis(weights[: len(some)], some, weight[None, :], 1)
+        a, b = np.searchsorted(at, [s, s + 512], sorter=order)
+        for e in range(a, b, 100_000):
+            p = order[e : min(e + 100_000, b)]
+            out[p] = np.minimum(weights[(at[p] - s)[:, None], perm[col[p]]], weight).sum(axis=1, dtype="i4")
+        np.put_along_axis(weights[: len(some)], some, 0, 1)
+    return out
+
+
+def _similar(x: np.ndarray, perm: np.ndarray, error: np.ndarray, r: np.ndarray, c: np.ndarray, keep: int, ranked: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, column), of rows `r` and columns `c` of the vectors of an inverted file, in pieces: the pairs that each row keeps.
 
-    The pivots of the rows are an inverted file of their own; sums are gathered over it, a bounded piece at a time.
+    Of the vectors whose cosine can be >= `least`, the `ranked` nearest by footrule are reranked. Footrules are computed
+    for the rows that have more than `ranked` of them. Where rows and columns are the same, each pair is multiplied once,
+    unless so many are similar (`CELLS`) that they are better not held together.
     """
-    n, m = perm.shape
-    flat = perm.ravel().astype("i8")
-    order = np.argsort(flat, kind="stable")
-    row, weight = order // m, (m - order % m).astype("i4")
-    starts = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1], True])
-    size = np.diff(starts)
-    # entry e meets the entries behind it in its file
-    behind = np.repeat(starts[1:], size) - np.arange(len(flat)) - 1
-    sums = np.zeros(n * n, "i4")
-    met = np.cumsum(behind)
-    edge = np.r_[0, np.searchsorted(met, np.arange(1_000_000, met[-1], 1_000_000)), len(flat)]
-    for a, b in pairwise(edge):
-        k = behind[a:b]
-        total = int(k.sum())
-        if not total:
-            continue
-        first = np.repeat(np.arange(a, b), k)
-        second = np.arange(total) - np.repeat(np.cumsum(k) - k, k) + first + 1
-        # rows of one file are in ascending order, so that each pair has one cell
-        cell = row[first] * n + row[second]
-        gain = np.minimum(weight[first], weight[second])
-        if total > n * n // 16:
-            sums += np.bincount(cell, gain, minlength=n * n).astype("i4")
+    if not len(r) or not len(c):
+        return
+    y, columns, step = x[r], x[c], _step(len(c))
+    low = least - error[c].max() - error[r]
+
+    def cells(s: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in r, places in c, and cosines, of the rows from place s and the columns from place `first`."""
+        cosine = y[s : s + step] @ columns[first:].T
+        at = np.flatnonzero(cosine >= low[s : s + step, None])
+        a, b = np.divmod(at, cosine.shape[1])
+        return a + s, b + first, cosine.ravel()[at]
+
+    def best(a: np.ndarray, b: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        (rows, row), (cols, col) = np.unique(a, return_inverse=True), np.unique(b, return_inverse=True)
+        near, cosine = np.zeros((len(rows), len(cols)), "i4"), np.zeros((len(rows), len(cols)), "f4")
+        near[row, col], cosine[row, col] = 1, value
+        many = (np.bincount(row, minlength=1) > ranked)[row]
+        if many.any():
+            near[row[many], col[many]] = _footrule(perm, r[a[many]], c[b[many]])
+        kept = _reranked(near, cosine, error[r[rows]], error[c[cols]], keep, ranked if many.any() else len(cols), least)
+        return r[rows[kept[0]]], c[cols[kept[1]]]
+
+    if np.array_equal(r, c):
+        found, held = [], 0
+        for s in range(0, len(r), step):
+            a, b, value = cells(s, s)
+            later = a < b
+            found.append((a[later], b[later], value[later]))
+            held += len(found[-1][0])
+            if held > CELLS:
+                break
         else:
-            np.add.at(sums, cell, gain)
-    sums = sums.reshape(n, n)
-    return sums + sums.T
+            a, b, value = (np.concatenate(p) for p in zip(*found))
+            a, b, value = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([value, value])
+            order = np.argsort(a, kind="stable")
+            a, b, value = a[order], b[order], value[order]
+            # pieces of 256 rows that have any
+            mine = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])[::256] if len(a) else []
+            for i, j in pairwise([*mine, len(a)]):
+                yield best(a[i:j], b[i:j], value[i:j])
+            return
+    for s in range(0, len(r), step):
+        a, b, value = cells(s, 0)
+        other = r[a] != c[b]
+        if other.any():
+            yield best(a[other], b[other], value[other])
 
 
 def _reranked(near: np.ndarray, c: np.ndarray, error: np.ndarray, other: np.ndarray, keep: int, ranked: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -307,7 +385,7 @@ def near_pairs(
     that a third of all rows share costs as much as one row. Ids are distinct non-null integers; repeated rows with one
     id and vector count once. Inverted files of more than `block` vectors are cut into blocks that meet in pairs, in
     tasks of their own. In each of them a vector goes on with those that can be among its `k` best of the `ranked` nearest
-    by footrule, so that candidates grow with the rows and not with their pairs. Members of crowds (`crowd_heads`) are
+    by footrule that can have a cosine >= `least`, so that candidates grow with the rows and not with their pairs. Members of crowds (`crowd_heads`) are
     compared with all vectors that can be similar to them, at the cost of the square of the size of a crowd. At most
     `most_pivots` * `dim` floats are sent to the tasks.
     """
@@ -330,18 +408,10 @@ def near_pairs(
         shares = F.broadcast(shares)
     single = good.withColumns({"h1": hashes[0], "h2": hashes[1]}).join(shares, ["h1", "h2"], "left")
     single = single.where(F.col("rep").isNull() | (F.col("rep") == F.col("id")))
-    index = durable(_represent(single, dim, pivots, length, heads, least))
+    index = durable(_represent(single, dim, pivots, length, heads, least, posted))
 
     # the inverted files: vectors stand in the first `posted` of their permutation
-    width = 4 if _number(len(pivots)) == "<u2" else 8
-
-    def number(i: Column) -> Column:
-        digits = [F.substring(F.hex("perm"), i * width + n, F.lit(2)) for n in range(width - 1, 0, -2)]
-        return F.conv(F.concat(*digits), 16, 10).cast("int")
-
-    postings = index.where(F.col("home") == -1).select(
-        "id", "perm", "q", "scale", F.explode(F.transform(F.sequence(F.lit(0), F.lit(posted - 1)), number)).alias("pivot")
-    )
+    postings = index.where(F.col("home") == -1).select("id", "perm", "q", "scale", F.explode("posts").alias("pivot"))
     # at most as many rows as there are pivots, and only those of long files are kept
     blocks = postings.groupBy("pivot").count().where(F.col("count") > block)
     blocks = blocks.select("pivot", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
@@ -368,15 +438,11 @@ def near_pairs(
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         # rounding moves a component by half a unit of the scale at most, and a cosine by a normal sum of these
         error = (1.5 * scale + 1e-6).astype("f4")
-        near = _footrule(perm)
         i, j = key[1].as_py(), key[2].as_py()
         some = [np.empty((2, 0), "i8")]
         for here, there in {(i, j), (j, i)}:
             r, c = np.flatnonzero(own == here), np.flatnonzero(own == there)
-            for s in range(0, len(r) if len(c) else 0, 512):
-                p = r[s : s + 512]
-                a, b = _reranked(near[np.ix_(p, c)], x[p] @ x[c].T, error[p], error[c], k + 2, ranked, least)
-                some.append(np.stack([p[a], c[b]]))
+            some += [np.stack(kept) for kept in _similar(x, perm, error, r, c, k + 2, ranked, least)]
         a, b = np.concatenate(some, axis=1)
         # a pair that both rows keep goes on once
         pair = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b))
@@ -417,9 +483,9 @@ def _mutual(scored: DataFrame, members: DataFrame, k: int) -> DataFrame:
     that several rows have."""
     # more than k + 1 rows count as k + 1, which already leaves no place for others
     sizes = members.select(F.col("rep").alias("id"), F.size("ids").cast("long").alias("n"))
-    both = scored.select(F.col("a").alias("x"), F.col("b").alias("y"), "cosine").unionByName(
-        scored.select(F.col("b").alias("x"), F.col("a").alias("y"), "cosine")
-    )
+    # both ways at once: as a union the cosines would be computed twice
+    ways = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))
+    both = scored.select("cosine", F.inline(ways))
     one = F.lit(1).cast("long")
     sized = both.join(sizes.select(F.col("id").alias("y"), F.col("n").alias("ny")), "y", "left").join(
         sizes.select(F.col("id").alias("x"), F.col("n").alias("nx")), "x", "left"

@@ -1,6 +1,9 @@
+from time import perf_counter
+
 import numpy as np
 import pytest
 
+from lexspark.llm import similar
 from lexspark.llm.similar import _chunks, _footrule, _number, _permutations, _reranked, near_pairs, nearest
 
 SCHEMA = "id long, v array<float>, rows int, pivot string, h1 long"
@@ -90,6 +93,15 @@ def test_unusable_vectors_and_empty_tables(spark):
     assert near_pairs(frame(spark, x).where("id = 2"), "id", "v").count() == 0
 
 
+def test_usable_vectors_of_either_type(spark):
+    inf, nan = float("inf"), float("nan")
+    good = [[1.0, 0.0], [-1.0, 0.0], [-1.0, -2.0], [0.0, 1e-30]]
+    bad = [None, [], [1.0], [0.0, -0.0], [1.0, None], [None, None], [inf, 1.0], [1.0, -inf], [nan, 1.0], [nan, None], [inf, None], [1.0, 2.0, 3.0]]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame([(v, v in good) for v in good + bad], f"v array<{kind}>, want boolean")
+        assert df.where(similar.usable(df.v, 2) != df.want).count() == 0 and df.where(similar.usable(df.v, 2)).count() == len(good)
+
+
 def test_footrule_sums():
     r = np.random.default_rng(2)
     perm = np.stack([r.permutation(20)[:6] for _ in range(50)]).astype("u2")
@@ -101,6 +113,67 @@ def test_footrule_sums():
             assert got[a, b] == (6 * 7 - far) / 2
 
 
+def test_footrule_sums_of_some_pairs():
+    r = np.random.default_rng(4)
+    perm = np.stack([r.permutation(300)[:12] for _ in range(1500)]).astype("u2")
+    a, b = r.integers(0, 1500, (2, 250_000))
+    a[:2000], b[:2000] = 1, np.arange(2000) % 1500
+    want = sum(np.where(perm[a, i] == perm[b, j], 12 - max(i, j), 0) for i in range(12) for j in range(12))
+    assert (_footrule(perm, a, b) == want).all() and _footrule(perm, a[:0], b[:0]).shape == (0,)
+
+
+def twins(n, dim=64, seed=9):
+    """n vectors; the i-th of the first half is similar to the i-th of the second, and to no other."""
+    r = np.random.default_rng(seed)
+    half = r.normal(size=(n // 2, dim))
+    return np.concatenate([half, half + 0.2 * r.normal(size=half.shape)]).astype("f4")
+
+
+def test_long_files_cost_little_more_than_short_ones(spark):
+    # with few pivots every file has thousands of vectors, as at many millions of rows
+    df, want = frame(spark, twins(24_000)), {(i, i + 12_000) for i in range(12_000)}
+    df = df.repartition(8).persist()
+    df.count()
+    took = {}
+    for most in (16384, 24, 16384, 24):
+        began = perf_counter()
+        got = [tuple(r) for r in near_pairs(df, "id", "v", most_pivots=most).select("id_a", "id_b").collect()]
+        took[most] = perf_counter() - began
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.98 * len(want)
+    df.unpersist()
+    assert took[24] < 2.5 * took[16384]
+
+
+@pytest.mark.parametrize("cells", [2_000_000, 5000])
+@pytest.mark.parametrize("ranked", [12, 128])
+def test_only_rows_with_many_similar_ones_are_ranked_by_footrule(monkeypatch, ranked, cells):
+    monkeypatch.setattr(similar, "CELLS", cells)
+    r = np.random.default_rng(11)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(np.concatenate([twins(2000), r.normal(size=(1, 64)) + 0.05 * r.normal(size=(200, 64))])).astype("f4")
+    perm, own = _permutations(x, x[::7], 12), np.arange(len(x))
+    asked, whole = [], _footrule(perm)
+    monkeypatch.setattr(similar, "_footrule", lambda perm, row, col: asked.append(len(row)) or _footrule(perm, row, col))
+    got = {(i, j) for a, b in similar._similar(x, perm, np.zeros(len(x), "f4"), own, own, 12, ranked, 0.9) for i, j in zip(a.tolist(), b.tolist())}
+    assert sum(asked) == 200 * 199
+    cosine = x @ x.T
+    near = np.where(cosine >= 0.9, whole, 0)
+    for i in range(len(x)):
+        mine = np.flatnonzero((cosine[i] >= 0.9) & (own != i))
+        if len(mine) > ranked:
+            mine = mine[near[i, mine] >= np.sort(near[i, mine])[-ranked]]
+        edge = np.sort(cosine[i, mine])[-12:][0]
+        kept = {j for a, j in got if a == i}
+        assert {j for j in mine.tolist() if cosine[i, j] > edge + 1e-5} <= kept <= {j for j in mine.tolist() if cosine[i, j] >= edge - 1e-5}
+
+
+def test_permutations_take_the_lower_of_equal_pivots():
+    r = np.random.default_rng(12)
+    pivots = r.integers(-1, 2, (700, 8)).astype("f4")
+    x = r.integers(-1, 2, (600, 8)).astype("f4")
+    assert (_permutations(x, pivots, 12) == np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :12]).all()
+
+
 def test_candidates_are_the_nearest_by_footrule_and_bounded():
     r = np.random.default_rng(8)
     near, c = r.integers(0, 30, (200, 300)), r.uniform(0.8, 1, (200, 300))
